@@ -1,0 +1,9 @@
+"""The registered queries and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
