@@ -98,12 +98,12 @@ class PreTokenEncoder(dict):
             else:
                 self[p] = struct.pack("<i", i)
         mapped = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.by_byte) for p in rest]
-        for p, ids in zip(rest, self.sp.encode(mapped, out_type=int), strict=True):
+        for p, ids in zip(rest, self.sp.encode(mapped, out_type=int, num_threads=1), strict=True):
             self[p] = struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
         found = self.find(text)
-        new = set(found).difference(self)
+        new = {p for p in set(found) if p not in self}
         if new:
             self.learn(new)
         try:

@@ -16,24 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared checkpoint folder, so that a lost executor loses nothing.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset (as in
-    tests on one machine) a temporary folder is taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset, as in tests on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def wide_hash(*key: Column) -> list[Column]:
     """Two independent 64-bit hashes; as a pair they tell apart far more keys than any corpus has."""
     return [F.xxhash64(*key), F.xxhash64(F.lit(1), *key)]
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """The column, or nulls where the table lacks it."""
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)

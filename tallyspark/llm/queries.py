@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup
+from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, neighbours, packing, quality, simhash_dedup, warc_revisit
 from .common import table
 
 #: The conversation that is added to those of the table: it says what the template itself says.
@@ -85,9 +85,89 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_revisit.resolve_revisits(warc_revisit.captures_of(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return out.withColumn("headers", F.array_join(lines, "\n"))
+
+
+OP2_SQL = r"""
+WITH pages1 AS (
+  SELECT page_id, url, md5(html) AS digest, length(html) AS n, '"' || substr(md5(html), 1, 12) || '"' AS tag, page_id * 60 AS t0,
+    regexp_replace(url, '^https?://(www\.|m\.)?', 'http://www.') AS variant
+  FROM pages WHERE page_id IS NOT NULL
+), captures AS (
+  SELECT page_id * 4 AS record_id, url, t0 AS ts, true AS is_full, tag, 't' || (t0 - 600) AS changed, 't' || t0 AS dated, NULL AS expires, n, digest FROM pages1
+  UNION ALL SELECT page_id * 4 + 1, variant, t0 + 90000, false, CASE WHEN page_id % 5 = 0 THEN '"stale"' ELSE 'W/' || tag END, NULL, 't' || (t0 + 90000), 't' || (t0 + 91000), NULL, NULL FROM pages1
+  UNION ALL SELECT page_id * 4 + 2, url, t0 + 500, false, NULL, 't' || CASE WHEN page_id % 7 = 0 THEN t0 ELSE t0 - 600 END, 't' || (t0 + 500), NULL, NULL, NULL FROM pages1
+  UNION ALL SELECT page_id * 4 + 3, variant, t0 - 500, false, NULL, NULL, NULL, NULL, NULL, NULL FROM pages1
+), cut AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/index\.html?$', ''), '/$', '') AS place,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)='))), '&') AS query
+  FROM captures WHERE url IS NOT NULL
+), named AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM cut
+), joined AS (
+  SELECT v.record_id, v.canonical_url, v.tag, v.changed, v.dated, v.expires, r.record_id AS refers_to, r.tag AS old_tag, r.changed AS old_changed, r.n, r.digest AS old_digest,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) AS k
+  FROM named v LEFT JOIN named r ON r.is_full AND r.canonical_url = v.canonical_url AND r.ts < v.ts WHERE NOT v.is_full
+), judged AS (
+  SELECT *, CASE WHEN refers_to IS NULL THEN 'no earlier response'
+    WHEN tag IS NOT NULL THEN CASE WHEN regexp_replace(tag, '^W/', '') = old_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN changed IS NOT NULL THEN CASE WHEN changed = old_changed THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'no validator' END AS status
+  FROM joined WHERE k = 1
+)
+SELECT record_id, canonical_url, refers_to, status,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || dated || chr(10)
+    || 'etag: ' || coalesce(tag, old_tag) || chr(10) || CASE WHEN expires IS NULL THEN '' ELSE 'expires: ' || expires || chr(10) END || 'last-modified: ' || old_changed END AS headers,
+  CASE WHEN status = 'resolved' THEN old_digest END AS digest
+FROM judged
+"""
+
+
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), jpeg_media.store_as_jpeg(F.col("text")).alias("media"))
+    read = stored.withColumn("r", jpeg_media.read_jpeg(F.col("media")))
+    payload = F.col("r.payload")
+    feature = F.concat_ws("x", "r.width", "r.height")
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", feature, "r.n_pictures", F.array_join("r.hashes", ",")).alias("feature"),
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses")).select("doc_id", "col.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_chat_format": op4_chat_format, "op7_line_dedup": op7_line_dedup, "op9_byte_bpe": op9_byte_bpe}
+    return {
+        "op1_simhash_dedup": op1_simhash_dedup, "op2_warc_revisits": op2_warc_revisits, "op3_jpeg_media": op3_jpeg_media, "op4_chat_format": op4_chat_format,
+        "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op8_neighbours": op8_neighbours, "op9_byte_bpe": op9_byte_bpe,
+        "op10_license_scan": op10_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op4_chat_format": OP4_SQL, "op7_line_dedup": OP7_SQL}
