@@ -36,11 +36,12 @@ def with_percent(n: Column, total: Column) -> Column:
 
 
 def price_label(v: Column) -> Column:
-    """Two decimals from one cent upward, else up to the first significant digit."""
-    tiny = F.concat(F.lit("$"), F.regexp_extract(F.format_string("%.12f", v.cast("double")), r"^(0\.0*[1-9])", 1))
-    places = F.ceil(-F.log10(v.cast("double"))).cast("int")
-    small = F.concat(F.lit("$"), F.rtrim(F.format_string("%.12f", F.expr("0.0") + F.round(v.cast("double") * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places))))
-    return F.when(v >= 0.01, F.concat(F.lit("$"), F.format_string("%.2f", v.cast("double")))).when(v <= 0, "$0.00").otherwise(F.when(tiny == "$", "$0.00").otherwise(F.regexp_replace(small, r"0+$", "")))
+    """Two decimals from one cent upward, else one significant digit."""
+    v = v.cast("double")
+    places = F.least(F.ceil(-F.log10(v)).cast("int"), F.lit(12))
+    digit = F.round(v * F.pow(F.lit(10.0), places)).cast("long").cast("string")
+    small = F.concat(F.lit("$0."), F.lpad(digit, places, "0"))
+    return F.when(v >= 0.01, F.concat(F.lit("$"), F.format_string("%.2f", v))).when(v <= 0, "$0.00").otherwise(small)
 
 
 def effort_letter(effort: Column) -> Column:
