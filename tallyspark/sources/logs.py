@@ -7,7 +7,7 @@ files (session files are small), with lines numbered inside.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timebuckets import parse_timestamp
@@ -32,17 +32,23 @@ def _root_rank(roots: list[str]) -> Column:
     return out
 
 
-def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", rank_by: list[str] | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", rank_by: list[str] | None = None, whole: bool = True) -> DataFrame:
     """(source_file, root_rank, ord, line): the lines that are not blank, numbered in their file.
 
     ``rank_by``: the roots whose order decides what was seen first, if they are not those that are read.
+    ``whole``: files are read whole, which suits many session files; without it large files are
+    split, and their lines are numbered by the place of the split and the order inside it.
     """
     roots = existing(spark, roots)
     ranks = roots if rank_by is None else rank_by
     if not roots:
         return spark.createDataFrame([], "source_file string, root_rank int, ord int, line string")
-    files = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    named = files.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", NEW_LINE)).alias("ord", "line"))
+    files = spark.read.text(roots, wholetext=whole, recursiveFileLookup=True, pathGlobFilter=pattern)
+    if whole:
+        named = files.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", NEW_LINE)).alias("ord", "line"))
+    else:
+        placed = files.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+        named = placed.withColumn("ord", F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "_id")) - 1)
     return named.withColumn("line", F.trim("line")).where(F.col("line") != "").select("source_file", _root_rank(ranks).alias("root_rank"), "ord", "line")
 
 

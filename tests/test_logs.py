@@ -38,6 +38,18 @@ def test_usage_log(spark, tmp_path):
     assert {r.extra_kind for r in rows} == {"cache_creation"} and {r.vendor for r in rows} == {"Claude"}
 
 
+def test_split_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / f"s/{name}.jsonl").write_text("\n".join("" if i % 9 == 4 else f'{{"n": {i}}}' for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = logs.read_lines(spark, [str(tmp_path / "s")], whole=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 2 * sum(i % 9 != 4 for i in range(5000)) and all(json.loads(r.line)["n"] == r.ord for r in rows)
+
+
 def count(ts, i, c, o, r):
     return {"type": "event_msg", "timestamp": ts, "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "reasoning_output_tokens": r}}}}
 

@@ -173,3 +173,14 @@ def test_first_seen_stream(spark, tmp_path):
     q = rows.writeStream.outputMode("append").format("memory").queryName("first_seen").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(str(x.m) for x in spark.table("first_seen").collect()) == ["None", "None", "a", "b"]
+
+
+def test_spread_stream_equals_batch(spark, data, tmp_path):
+    rows = ledger(spark, data).groupBy("model_key", "user_id", F.to_date("event_ts").alias("d")).agg(F.min("event_ts").alias("event_ts"), F.max("event_ts").alias("session_end"), *breakdown.summed())
+    rows = rows.select("model_key", F.col("event_ts").cast("timestamp").alias("event_ts"), F.col("event_ts").cast("timestamp").alias("session_start"), F.col("session_end").cast("timestamp").alias("session_end"), *C)
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = refresh.read_landed(spark, str(tmp_path / "in"), rows.schema.simpleString()[7:-1].replace(":", " "), files_per_batch=1)
+    refresh.keep_current(refresh.spread_stream(stream, 90, late="60 days"), refresh.append_updates(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
+    got = refresh.latest_of(str(tmp_path / "out"), spark, ["bucket", "model_key"], "input_tokens").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "model_key", F.round("input_tokens", 6).alias("n"))
+    want = timeseries.spread_series(rows, 90, ["model_key"]).select("bucket", "model_key", F.round("input_tokens", 6).alias("n"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
