@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,10 @@ def durable(df: DataFrame) -> DataFrame:
 def wide_hash(*key: Column) -> list[Column]:
     """Two independent 64-bit hashes; as a pair they tell apart far more keys than any corpus has."""
     return [F.xxhash64(*key), F.xxhash64(F.lit(1), *key)]
+
+
+def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """Smaller pieces of the batches, so that a worker holds the results of few long values at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
