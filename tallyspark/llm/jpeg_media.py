@@ -29,6 +29,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 UNIT, FILL, ACROSS = 576, 255, 24
 #: Most rows of blocks in a picture: a multiple of 24 whose 8 lines each stay below 65,536.
 FRAME_ROWS = 8184
@@ -313,7 +315,7 @@ def _in_batches(sizes: list[int]) -> Iterator[slice]:
 @F.arrow_udf(T.BinaryType())
 def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     frame = FRAME_ROWS * ACROSS
-    for texts in batches:
+    for texts in slices(batches):
         frames, owner = [], []
         out: list[list[bytes]] = []
         for i, t in enumerate(texts.to_pylist()):
@@ -337,7 +339,7 @@ FEATURES = T.StructType([
 def _decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
     names = FEATURES.names
-    for media in batches:
+    for media in slices(batches):
         columns: list[list] = [[] for _ in names]
         values = media.to_pylist()
         for part in _in_batches([len(m or b"") for m in values]):
