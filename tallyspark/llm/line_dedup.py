@@ -6,7 +6,8 @@ except in the document with the smallest id. All other lines stay, in their orde
 
 The text moves once, in the last join. Before it, only hashes, ids and positions move: the
 distinct (hash, document) pairs are dealt by both, so that a line which every document holds is
-counted in parts; the join back to the lines is an ordinary one whose hot partitions Spark splits.
+counted in parts. The repeated keys are cut off in the shared folder, so that the join back to the
+lines has a shuffle of its own on either side and Spark can split its hot partitions.
 
 Defined cases: a null or empty text is one empty line and stays; a null ``doc_id`` takes no part
 (its lines neither count nor drop); rows that repeat a ``doc_id`` are one document for the count;
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, LOWER, UPPER, wide_hash
+from .common import ASCII_SPACE, LOWER, UPPER, durable, wide_hash
 
 RESULT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
 
@@ -63,7 +64,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with n_lines (before), n_dropped and kept_text."""
     lines = line_keys(docs, id_col, text_col, min_chars)
     drops = (
-        lines.join(repeated_keys(lines, min_docs), ["_h1", "_h2"]).where(F.col("_doc") > F.col("_keeper"))
+        lines.join(durable(repeated_keys(lines, min_docs)), ["_h1", "_h2"]).where(F.col("_doc") > F.col("_keeper"))
         .groupBy("_doc", "_text").agg(F.collect_set("_pos").alias("_drop"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
