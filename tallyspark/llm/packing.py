@@ -36,6 +36,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_characters
 from .common import durable
 
 CAPACITY, END_ID = 4096, 1
@@ -43,7 +44,7 @@ SHARD, ISLANDS, EPOCHS = 4096, 2, 2
 POPULATION, GENERATIONS, CHILDREN = 4, 6, 2
 #: Slack, in tokens, from which a bin takes part in the second round.
 NOTABLE = 24
-#: Most words, and most letter runs, that a worker remembers; beyond, it starts afresh. It changes speed only.
+#: Most words, and most parts of words, that a worker remembers; beyond, it starts afresh. It changes speed only.
 REMEMBERED = 400_000
 
 #: Punctuation that never joins with letters before it; an apostrophe may.
@@ -62,50 +63,44 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cores: dict[str, bytes] = {}
-
-    def _add_cores(self, cores: list[str]) -> None:
-        found = self.tokenizer.encode(cores, is_pretokenized=True, add_special_tokens=False)
-        packed = np.array(found.ids, "<u4").tobytes()
-        of = np.array(found.word_ids, np.int64)
-        cuts = (4 * np.searchsorted(of, np.arange(len(cores) + 1))).tolist()
-        self.cores.update((w, packed[a:b]) for w, a, b in zip(cores, cuts, cuts[1:]))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > REMEMBERED:
+        self.model = self.tokenizer.model
+        self.by_byte = dict(enumerate(byte_characters()))
+        self.parts: dict[str, bytes] = {}
+
+    def _core(self, letters: str) -> bytes:
+        """A run of lower-case letters below U+0130: nothing to normalise or cut, so the model takes it at once."""
+        mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.by_byte)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str, plain: bool) -> bytes:
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+        if plain:
+            found = self._core(part)
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.parts[part] = found
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(PUNCTUATION)
+        if not core.isalpha() or max(core) >= "İ":
+            return self.parts.get(word) or self._part(word, False)
+        tail, core = word[len(core) :], core.lower()  # letters, then punctuation: the tokenizer cuts between them
+        after = (self.parts.get(tail) or self._part(tail, False)) if tail else b""
+        before = self.parts.get(core)
+        if before is None:  # most words are never seen again: remember the letters alone
+            return self._part(core, True) + after
+        if len(self) >= REMEMBERED:
             self.clear()
-        if len(self.cores) + len(words) > REMEMBERED:
-            self.cores.clear()
-        split, odd = [], []
-        for w in words:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha() and max(core) < "İ":  # letters, then punctuation: the tokenizer cuts between them
-                split.append((w, core.lower(), w[len(core) :]))
-            else:
-                odd.append(w)
-        need = {c for _, c, _ in split if c not in self.cores}
-        if need:
-            self._add_cores(list(need))
-        rest = [*{t for _, _, t in split if t and t not in self.cores}, *odd]
-        if rest:
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-                self.cores[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        cores = self.cores
-        for w, core, tail in split:
-            self[w] = cores[core] + cores[tail] if tail else cores[core]
-        for w in odd:
-            self[w] = cores[w]
+        self[word] = packed = before + after
+        return packed
 
     def encode(self, text: str) -> bytes:
         words = [w for w in _SPACES.split(text) if w] if any(c in text for c in _ODD) else text.split()
-        new = {w for w in set(words) if w not in self}
-        if new:
-            self.learn(new)
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:  # the memory was cleared by what this text added
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
