@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import line_dedup, neighbours, quality, simhash_dedup, warc_revisit
+from tallyspark.llm import jaccard_dedup, line_dedup, neighbours, quality, simhash_dedup, warc_revisit
 from tallyspark.llm.queries import op5_quality, op8_neighbours
 
 
@@ -178,3 +178,37 @@ def test_stages_take_odd_documents(spark, data):
     for rows in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, rows, data).collect()
+
+
+def test_near_dedup_stage_keeps_to_jaccard(spark, data):
+    """Edited copies at 0.8 and more over five words go, as brute force says, in small blocks too."""
+    rng = random.Random(17)
+    docs, words = [], [f"w{i}" for i in range(500)]
+    for _ in range(40):
+        at = [rng.choice(words) for _ in range(rng.randint(1, 400))]
+        docs.append(at)
+        for _ in range(rng.randint(0, 6)):
+            at = list(at)
+            for _ in range(rng.randint(1, 1 + len(at) // 60)):
+                at[rng.randrange(len(at))] = rng.choice(words)
+            docs.append(at)
+    texts = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(900, ""), (901, None), (902, " \t"), (903, " ".join(docs[0]).upper())]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts}
+    root = {i: i for i, _ in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and (not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: find(i) for i in sets}
+    for block in (2, 256):
+        assert {r.doc_id: r.component_id for r in jaccard_dedup.near_duplicates(df, block=block).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, data).collect()} == set(want.values())
+    assert jaccard_dedup.near_duplicates(df.limit(0)).count() == 0
