@@ -424,7 +424,7 @@ def incremental_refresh(spark, sf_dir):
     lines.where("half = 0").select("line").write.text(f"{folder}/projects/a", compression="none")
 
     def parse(paths: list[str]) -> DataFrame:
-        return logs.usage_log(logs.read_lines(spark, paths, "*.txt", rank_by=[f"{folder}/projects"]))
+        return logs.usage_rows(logs.read_lines(spark, paths, "*.txt", rank_by=[f"{folder}/projects"]))
 
     empty = spark.createDataFrame([], incremental.MANIFEST)
     known, manifest = incremental.refresh(spark, [f"{folder}/projects"], "*.txt", empty, parse([]), parse)
@@ -432,7 +432,7 @@ def incremental_refresh(spark, sf_dir):
     manifest.write.parquet(f"{folder}/manifest-1")
     lines.where("half = 1").select("line").write.text(f"{folder}/projects/b", compression="none")
     known, _ = incremental.refresh(spark, [f"{folder}/projects"], "*.txt", spark.read.parquet(f"{folder}/manifest-1"), spark.read.parquet(f"{folder}/ledger-1"), parse)
-    return known.groupBy(F.date_format("event_ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("messages"), *breakdown.summed())
+    return logs.first_messages(known).groupBy(F.date_format("event_ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("messages"), *breakdown.summed())
 
 
 @query(f"SELECT bucket, vendor, CAST(sum(n) AS BIGINT) AS tokens FROM ({_VENDOR}) GROUP BY 1, 2")

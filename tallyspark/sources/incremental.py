@@ -34,7 +34,9 @@ def refresh(spark: SparkSession, roots: list[str], pattern: str, manifest: DataF
     """(ledger, manifest) brought up to date. ``parse`` makes ledger rows of a list of files.
 
     The list of changed file names is all that the driver holds: it is what a reader takes as its
-    paths. Rows of changed and of deleted files are replaced, others stay untouched.
+    paths. Rows of changed and of deleted files are replaced, others stay untouched. What depends
+    on other files, such as which of repeated messages counts, is not for ``parse``: the ledger
+    keeps every row, and ``logs.first_messages`` is applied to it after each refresh.
     """
     files = list_files(spark, roots, pattern)
     paths = [r.path for r in changed_files(files, manifest).select("path").collect()]

@@ -77,8 +77,8 @@ def _ledger(df: DataFrame) -> DataFrame:
     return df.select(*LEDGER_COLUMNS)
 
 
-def usage_log(lines: DataFrame) -> DataFrame:
-    """One record per message: keep those with usage; the first of each message and request stays."""
+def usage_rows(lines: DataFrame) -> DataFrame:
+    """The records with usage, repeats too."""
     usage = F.get_json_object("line", "$.message.usage")  # an empty object is no usage, whatever the schema sees in it
     rows = _parsed(lines, USAGE_LOG).where(F.startswith(usage, F.lit("{")) & ~F.rlike(usage, F.lit(r"^\{\s*\}$"))).select(
         F.lit("Claude").alias("vendor"), F.col("root_rank").cast("string").alias("source_root"), "root_rank", "source_file", "ord", F.col("r.timestamp").alias("ts_raw"),
@@ -87,7 +87,18 @@ def usage_log(lines: DataFrame) -> DataFrame:
         _counter("r.message.usage.cache_read_input_tokens").alias("cache_read_tokens"), _counter("r.message.usage.cache_creation_input_tokens").alias("extra_tokens"),
         F.lit("cache_creation").alias("extra_kind"),
     )
-    return _ledger(first_seen(rows, ["message_id", "request_id"], ["root_rank", "source_file", "ord"]))
+    return _ledger(rows)
+
+
+def first_messages(rows: DataFrame) -> DataFrame:
+    """The first of each message and request, over all files of the ledger."""
+    ranked = rows.withColumn("_rank", F.col("source_root").cast("int"))
+    return first_seen(ranked, ["message_id", "request_id"], ["_rank", "source_file", "ord"]).select(*rows.columns)
+
+
+def usage_log(lines: DataFrame) -> DataFrame:
+    """One record per message: keep those with usage; the first of each message and request stays."""
+    return first_messages(usage_rows(lines))
 
 
 def event_log(lines: DataFrame) -> DataFrame:

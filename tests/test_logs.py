@@ -133,6 +133,24 @@ def test_incremental(spark, tmp_path):
     assert sorted(r.message_id for r in ledger.collect()) == ["a", "c", "grown"] and calls == [0, 2, 2] and manifest.count() == 2
 
 
+def test_repeats_over_refreshes(spark, tmp_path):
+    """A message of an old and of a new file counts once; it comes back when the file that won goes."""
+    t, root = "2025-12-11T23:18:08Z", tmp_path / "r"
+    write(root / "b.jsonl", [message(t, "1", "a"), message(t, "2", "b")])
+    parse = lambda paths: logs.usage_rows(logs.read_lines(spark, paths, rank_by=[str(root)]))
+    ledger, manifest = parse([]), spark.createDataFrame([], incremental.MANIFEST)
+    for k, want in enumerate([[("a", "b"), ("b", "b")], [("a", "a"), ("b", "b")], [("a", "b"), ("b", "b")]]):
+        if k == 1:
+            write(root / "a.jsonl", [message(t, "1", "a")])
+        if k == 2:
+            (root / "a.jsonl").unlink()
+        ledger, manifest = incremental.refresh(spark, [str(root)], "*.jsonl", manifest, ledger, parse)
+        for name, df in (("l", ledger), ("m", manifest)):
+            df.write.parquet(str(tmp_path / f"{name}{k}"))
+        ledger, manifest = (spark.read.parquet(str(tmp_path / f"{name}{k}")) for name in "lm")
+        assert sorted((r.message_id, r.source_file[-7]) for r in logs.first_messages(ledger).collect()) == want
+
+
 def test_pricing(spark, tmp_path):
     price = {"input": 1.5, "output": 7.5, "cache_input": 0.15, "cache_output": 1.875, "_comment": "note"}
     (tmp_path / "p.json").write_text(json.dumps({"_meta": {"about": 1}, "claude": {"subscription_price": 200, "models": {"a": price, "b": price}, "default": price}, "gemini": {"subscription_price": 19.99, "models": {}, "default": price}}, indent=1))
