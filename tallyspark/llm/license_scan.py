@@ -143,9 +143,22 @@ class Scanner:
                 continue
             pairs = patience_align(template, words[start : start + width])
             if len(pairs) >= need:
-                first, last = pairs[0][1], pairs[-1][1]
-                yield round(len(pairs) / len(template), 6), start + first, start + last + 1
-                at = start + last + 1
+                pairs, first, at = self._settled(words, template, pairs, start, start + width)
+                yield round(len(pairs) / len(template), 6), first, at
+
+    @staticmethod
+    def _settled(words: list[str], template: list[str], pairs: list[tuple[int, int]], start: int, end: int) -> tuple[list[tuple[int, int]], int, int]:
+        """(pairs, first word, end word) of a copy that the window may have cut: its end is followed while coverage rises, words beside it go."""
+        while (further := start + pairs[-1][1] + 1 + int(np.ceil(STRETCH * (len(template) - 1 - pairs[-1][0])))) > end:
+            more = patience_align(template, words[start:further])
+            if len(more) <= len(pairs):
+                break
+            pairs, end = more, further
+        while len(more := patience_align(template, words[start + pairs[0][1] + 1 : end])) >= len(pairs):
+            pairs, start = more, start + pairs[0][1] + 1
+        while len(more := patience_align(template, words[start : start + pairs[-1][1]])) >= len(pairs):
+            pairs = more
+        return pairs, start + pairs[0][1], start + pairs[-1][1] + 1
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

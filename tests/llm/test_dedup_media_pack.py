@@ -268,3 +268,14 @@ def test_license_scan(spark):
     assert [x[1] for x in got[3:6]] == [[], [], []] and got[6][1] == [("mit-notice", 1.0)] and got[7][1] == []
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").digest_size == 32
+
+
+def test_license_scan_in_prose():
+    """Intact copies after common words are reported whole and with their true end."""
+    rng, isc = random.Random(18), license_scan.TEMPLATES["isc"]
+    scanner = license_scan.Scanner({"isc": isc})
+    for _ in range(200):
+        prose = lambda n: [rng.choice("the of and in to this for or with that is".split()) if rng.random() < 0.4 else rng.choice(WORDS) for _ in range(n)]
+        before, copy, after = prose(60), license_scan.words_of(isc), prose(60)
+        (got,) = scanner.scan(" ".join([*before, *copy, *after]))
+        assert got[1] == 1.0 and got[3] == len(before) + len(copy)
