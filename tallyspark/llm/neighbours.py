@@ -142,6 +142,15 @@ def fit(sample: np.ndarray, rows: int, target: float = TARGET) -> Router:
     return router
 
 
+def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by falling score and rising id."""
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+    keep = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+    return query[keep], vec[keep], score[keep]
+
+
 def top_of_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of each query's k nearest in the block."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -157,18 +166,15 @@ def top_of_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             least = np.full(len(part), -np.inf)
         margin = 1e-12 * x.shape[1] * norms * np.sqrt((part**2).sum(axis=1))
         a, b = np.nonzero((score >= (least - margin)[:, None]) & (score > -np.inf))
-        for cut in range(0, len(a), 1 << 16):  # the exact sums, from the first component to the last
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for cut in range(0, len(a), 1 << 16):  # the exact sums, from the first component to the last; each piece leaves k of a query, however many tie
             i, j = a[cut : cut + (1 << 16)], b[cut : cut + (1 << 16)]
-            found.append((own[i], ids[j], np.cumsum(part[i] * x[j], axis=1)[:, -1]))
+            piece = (own[i], ids[j], np.cumsum(part[i] * x[j], axis=1)[:, -1])
+            held = _best(*(np.concatenate(c) for c in zip(held, piece)), k)
+        found.append(held)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    query, vec, score = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((vec, -score, query))
-    query, vec, score = query[order], vec[order], score[order]
-    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
-    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-    keep = rank < k
-    return query[keep], vec[keep], score[keep]
+    return _best(*(np.concatenate(c) for c in zip(*found)), k)
 
 
 def _blocks(rows: DataFrame, block: int) -> dict[int, int]:

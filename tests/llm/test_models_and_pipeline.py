@@ -1,6 +1,7 @@
 """Quality scores, nearest neighbours, revisits and the pipeline."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -212,3 +213,15 @@ def test_near_dedup_stage_keeps_to_jaccard(spark, data):
         assert {r.doc_id: r.component_id for r in jaccard_dedup.near_duplicates(df, block=block).collect()} == want
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, data).collect()} == set(want.values())
     assert jaccard_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_many_ties_take_little_memory(monkeypatch):
+    """Copies all tie: the k smallest ids stay, and memory does not grow with queries times copies."""
+    monkeypatch.setattr(neighbours, "AT_ONCE", 1 << 16)
+    x = np.ones((8000, 4))
+    tracemalloc.start()
+    query, vec, score = neighbours.top_of_block(np.arange(8000), x, np.arange(10_000, 10_400), x[:400], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert vec.reshape(400, 5).tolist() == [list(range(5))] * 400 and query.tolist() == np.repeat(np.arange(10_000, 10_400), 5).tolist() and set(score) == {4.0}
+    assert peak < 30e6
