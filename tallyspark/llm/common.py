@@ -37,7 +37,7 @@ def wide_hash(*key: Column) -> list[Column]:
     return [F.xxhash64(*key), F.xxhash64(F.lit(1), *key)]
 
 
-def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+def slices(batches: Iterator[pa.Array | pa.RecordBatch], rows: int = 256) -> Iterator[pa.Array | pa.RecordBatch]:
     """Smaller pieces of the batches, so that a worker holds the results of few long values at once."""
     for batch in batches:
         for at in range(0, len(batch), rows):

@@ -5,6 +5,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,10 @@ def found(df):
     return out
 
 
+def recall_of(got, want):
+    return np.mean([len({v for v, _ in want[q]} & {v for v, _ in got[q]}) / len(want[q]) for q in want])
+
+
 @pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
 def test_recall_of_neighbours(spark, table):
     path = f"/root/testdata/{table}"
@@ -70,30 +75,70 @@ def test_recall_of_neighbours(spark, table):
     x, ids = np.array(rows["embedding"].tolist(), np.float64), rows["vec_id"].to_numpy()
     want, got = nearest_by_force(ids, x), found(op8_neighbours(spark, path))
     assert got.keys() == want.keys()
-    assert np.mean([len({v for v, _ in want[q]} & {v for v, _ in got[q]}) / len(want[q]) for q in want]) >= 0.9
+    assert recall_of(got, want) >= 0.9
     exact = {i: v for i, v in zip(ids.tolist(), x)}
     assert all(s == np.cumsum(exact[q] * exact[v])[-1] for q in got for v, s in got[q])
-
-
-def test_neighbours_edges_and_learned_partitions(spark, monkeypatch):
+    assert neighbours.partitions(len(ids)) >= 2
+
+
+def test_recall_over_many_partitions(spark, monkeypatch):
+    """50,000 clustered vectors: sixteen partitions, of which the queries visit some; each row is in one block, once."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(200, 16))[rng.integers(0, 200, 50_000)] * 3 + rng.normal(size=(50_000, 16))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    seen = {}
+
+    def watched(base, queries, router, k, block):
+        out = items(base, queries, router, k, block)
+        own = out.where("asks = 0").agg(F.count("*"), F.count_distinct("part", "block")).first()
+        seen.update(router=router, rows=own[0], kept=base.count(), blocks=own[1], copies=out.where("asks = 1").count())
+        return out
+
+    items = neighbours.items
+    monkeypatch.setattr(neighbours, "items", watched)
+    got = found(neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=1000))
+    score = x[::20] @ x.T
+    score[np.arange(2500), np.arange(0, 50_000, 20)] = -np.inf
+    want = {20 * i: [(int(j), None) for j in near] for i, near in enumerate(np.argpartition(-score, 20, axis=1)[:, :20])}
+    assert got.keys() == want.keys() and recall_of(got, want) >= 0.9
+    router = seen["router"]
+    assert router.parts == 16 and (router.rows > 0).sum() >= 2 and 1 <= router.probes < 16
+    assert seen["rows"] == seen["kept"] == router.rows.sum() == 50_000 and seen["blocks"] > 16 and seen["copies"] >= 2500
+
+
+def test_neighbours_edges_and_learned_partitions(spark):
     rng = np.random.default_rng(2)
-    monkeypatch.setattr(neighbours, "BASE_BLOCK", 300)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)
     centres = rng.normal(size=(40, 16)) * 4
     x = (centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
     x[1000:3000] = x[0]  # a third are copies
     rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
-    bad = [(6000, None, "x"), (6020, [], "x"), (6040, [0.0] * 16, "x"), (6060, [float("nan")] * 16, "x"), (6080, [None] + [1.0] * 15, "x"), (6100, [float("inf")] + [1.0] * 15, "x"), (6120, [1.0], "x"), (None, [1.0] * 16, "x")]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score string")
-    got = found(neighbours.nearest(df, F.col("vec_id") % 20 == 0))
+    bad = [(6000, None, "x"), (6020, [], "x"), (6040, [0.0] * 16, "x"), (6060, [float("nan")] * 16, "x"), (6080, [None] + [1.0] * 15, "x"), (6100, [float("inf")] + [1.0] * 15, "x"), (None, [1.0] * 16, "x")]
+    df = spark.createDataFrame(rows + bad + rows[:50], "vec_id long, embedding array<float>, score string")
+    got = found(neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=300))
     want = nearest_by_force(np.arange(6000), x.astype(np.float64))
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
-    recall = np.mean([len({v for v, _ in want[q]} & {v for v, _ in got[q]}) / 20 for q in want])
-    assert recall >= 0.9
-    assert got[1000] == want[1000]  # ties among copies go to smaller ids
+    assert recall_of(got, want) >= 0.9
+    assert got[1000] == want[1000] and got[0] == want[0]  # ties among copies go to smaller ids
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>, score string")
     assert len(found(neighbours.nearest(few, F.col("vec_id") % 20 == 0))[0]) == 4
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    one = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(one, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_neighbours_of_uneven_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [1.0]), (2, [0.0, 1.0, 5.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(neighbours.nearest(df, F.col("vec_id") % 20 == 0)) == {0: [(3, 5.0), (2, 2.0), (1, 1.0)]}
+    assert found(neighbours.nearest(df, F.col("vec_id") == 3, k=3)) == {3: [(0, 5.0), (0, 3.0), (2, 2.0)]}
+
+
+def test_a_query_goes_on_until_it_holds_enough():
+    router = neighbours.Router(4, 2)
+    router.b[:], router.rows[:], router.probes = [3, 2, 1, 0], [5, 0, 2, 30], 1
+    assert [p.tolist() for p in router.probed(np.ones((1, 2)), 3)] == [[0]]
+    assert [p.tolist() for p in router.probed(np.ones((1, 2)), 5)] == [[0, 2]]
+    assert [p.tolist() for p in router.probed(np.ones((1, 2)), 60)] == [[0, 2, 3]]
 
 
 def test_balanced_partition():
