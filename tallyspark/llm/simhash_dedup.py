@@ -11,19 +11,25 @@ Manhattan distance is the number of differing bits of two packed embeddings.
 *Grid range-join.* The segments form ``radius + 3`` groups. If two embeddings are within
 ``radius``, at least three groups have no difference at all. Each fingerprint is therefore dealt
 into one grid for every choice of three groups, and its cell is its counts there; all pairs within
-reach meet in a cell of some grid, and a cell holds about one fingerprint per 2^24 by chance.
-Inside a cell, pairs within the Manhattan bound are verified on the fingerprints.
+reach meet in a cell of some grid. Two random fingerprints agree in a segment with probability 3/8,
+so they share a cell of 16 segments with 2^-22.6, as is measured too, and as counts of one are the
+likeliest, the fullest cell holds 2^-16 of all. Inside a cell, pairs within the Manhattan bound are
+verified on the fingerprints.
 
 *Hot cells.* Only distinct fingerprints take part, so exact copies cost nothing. A cell with more
-than ``block`` fingerprints is cut into blocks, and every pair of blocks is a work item of its own,
-so none is larger than two blocks. An item returns a spanning forest of its links, at most one per
-fingerprint, never all pairs.
+than ``block`` fingerprints is dealt into grids again, over the segments that its key leaves free:
+the same argument holds for them, so no pair is lost, and a fingerprint costs 20 rows there however
+full the cell is. What is still fuller than a block is cut into blocks, and every pair of blocks is
+a work item of its own, so none is larger than two blocks. An item returns a spanning forest of its
+links, at most one per fingerprint, never all pairs. Counts of cells, smallest neighbours and names
+of components are cut off in the shared folder before they are joined, so that each join has a
+shuffle of its own on either side and Spark can split a hot cell, centre or component.
 
 *Components* come from alternating large-star and small-star rounds over the links, which move
 only ids and end when nothing changes; each round is cut off in the shared checkpoint folder.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and is linked
-like any other; fewer words than a shingle make one shingle; rows with a null id get a fingerprint
+like any other; a text of any length is read whole, its shingles ``CHUNK`` at a time; fewer words than a shingle make one shingle; rows with a null id get a fingerprint
 and a component but never name one (a component without any id is null); repeated rows repeat in
 the result; an empty table gives an empty table; other columns are ignored.
 """
@@ -87,10 +93,10 @@ def embedding(fp: Column) -> Column:
     return high.bitwiseOR(low).bitwiseOR(F.shiftleft(high.bitwiseAND(low), 1))
 
 
-def grids(radius: int = 3) -> list[int]:
-    """The bits of the embedding that make the cell, for each grid (signed)."""
-    cuts = np.linspace(0, 32, radius + 4).round().astype(int)
-    groups = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cuts, cuts[1:])]
+def grids(radius: int = 3, segments: list[int] = list(range(32))) -> list[int]:  # noqa: B006
+    """The bits of the embedding that make the cell, for each grid over these segments (signed)."""
+    cuts = np.linspace(0, len(segments), radius + 4).round().astype(int)
+    groups = [sum(3 << 2 * s for s in segments[a:b]) for a, b in zip(cuts, cuts[1:])]
     masks = [sum(x) for x in combinations(groups, 3)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
@@ -144,35 +150,50 @@ def _links_of(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list[np.n
     return left, right
 
 
-def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) whose components are those of all links."""
-    cells = distinct.select("fp", F.posexplode(F.array([embedding(F.col("fp")).bitwiseAND(F.lit(m)) for m in grids(radius)])).alias("_grid", "_cell"))
-    crowded = cells.groupBy("_grid", "_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+def items(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """(_grid, _cell, _sub, _subcell, _i, _j, fp): the work items, each of the fingerprints of one or two blocks."""
+    masks = grids(radius)
+    place = embedding(F.col("fp"))
+    cells = distinct.select("fp", F.posexplode(F.array([place.bitwiseAND(F.lit(m)) for m in masks])).alias("_grid", "_cell"))
+    crowded = durable(cells.groupBy("_grid", "_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > 1))
+    names = ["_grid", "_cell", "_sub", "_subcell", "_i", "_j", "fp"]
+    none = F.lit(0).cast("long")
+    out = cells.join(crowded.where(F.col("_n") <= block), ["_grid", "_cell"]).select("_grid", "_cell", F.lit(-1).alias("_sub"), none.alias("_subcell"), F.lit(0).alias("_i"), F.lit(0).alias("_j"), "fp")
+    hot = crowded.where(F.col("_n") > block).select("_grid", "_cell")
+    if hot.isEmpty():
+        return out
+    free = [[s for s in range(32) if not m >> 2 * s & 3] for m in masks]
+    finer = F.array([F.array([F.lit(m) for m in grids(radius, own)]) for own in free])
+    again = cells.join(hot, ["_grid", "_cell"]).select("_grid", "_cell", "fp", F.posexplode(F.element_at(finer, F.col("_grid") + 1)).alias("_sub", "_mask"))
+    again = again.select("_grid", "_cell", "_sub", place.bitwiseAND(F.col("_mask")).alias("_subcell"), "fp")
+    key = ["_grid", "_cell", "_sub", "_subcell"]
+    full = durable(again.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1))
     blocks = F.ceil(F.col("_n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    items = (
-        cells.join(crowded, ["_grid", "_cell"])
-        .select("_grid", "_cell", "fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-        .select("_grid", "_cell", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "fp")
-    )
-    key = ["_grid", "_cell", "_i", "_j"]
+    pairs = again.join(full, key).select(*key, "fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    return out.union(pairs.select(*key, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "fp").select(*names))
+
+
+def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp) whose components are those of all links."""
+    key = ["_grid", "_cell", "_sub", "_subcell", "_i", "_j"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5), np.int64)
+        held = np.zeros((0, len(key) + 1), np.int64)
         for batch in chain(batches, [None]):
             if batch is not None:
-                rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])
+                rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(len(key) + 1)])
                 held = np.concatenate((held, rows))
-                whole = int(np.flatnonzero(np.any(held[:, :4] != held[-1, :4], axis=1))[-1:].sum() + 1) if len(held) and np.any(held[0, :4] != held[-1, :4]) else 0
+                whole = int(np.flatnonzero(np.any(held[:, :-1] != held[-1, :-1], axis=1))[-1:].sum() + 1) if len(held) and np.any(held[0, :-1] != held[-1, :-1]) else 0
             else:
                 whole = len(held)
             if whole:
-                left, right = _links_of(held[:whole, :4], held[:whole, 4].copy().view(np.uint64), radius)
+                left, right = _links_of(held[:whole, :-1], held[:whole, -1].copy().view(np.uint64), radius)
                 held = held[whole:]
                 a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    dealt = items.repartition(*key).sortWithinPartitions(*key, "fp").select(*(F.col(c).cast("long").alias(c) for c in key), "fp")
+    dealt = items(distinct, radius, block).repartition(*key).sortWithinPartitions(*key, "fp").select(*(F.col(c).cast("long").alias(c) for c in key), "fp")
     return dealt.mapInArrow(find, "a long, b long")
 
 
@@ -182,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Large: each neighbour above a node joins the smallest of the node's neighbourhood. Small: each below it, and the node."""
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         met = both.join(low, "a")
         if large:
             return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -203,10 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fingerprint as 16 hex digits, component_id: the smallest id reachable) for every row."""
     prints = durable(fingerprints(docs, id_col, text_col, words))
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("_first"))
-    root = components(links(distinct.select("fp"), radius))
+    spread = distinct.select("fp").repartition(docs.sparkSession.sparkContext.defaultParallelism, "fp")  # every fingerprint becomes a row per grid
+    root = components(links(spread, radius))
     placed = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
     placed = durable(placed)
-    names = placed.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    names = durable(placed.groupBy("_root").agg(F.min("_first").alias("component_id")))
     named = placed.join(names, "_root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")

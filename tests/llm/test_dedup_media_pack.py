@@ -93,6 +93,32 @@ def test_links_keep_every_component(spark, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_third_of_all_fingerprints_in_one_cell(spark):
+    """A hot cell is dealt again: no item grows beyond its blocks, no link is lost; the centre of a large component too."""
+    rng, block = random.Random(19), 32
+    mask = simhash_dedup.grids()[0] & (1 << 64) - 1
+    hot = [rng.getrandbits(64) & ~mask & (1 << 64) - 1 for _ in range(1200)]
+    prints = {*hot, *(rng.getrandbits(64) for _ in range(1200)), *(f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in rng.sample(hot, 300))}
+    ball = rng.getrandbits(64)
+    prints = sorted(prints | {ball} | {ball ^ 1 << a ^ 1 << b for a in range(64) for b in range(a, 64, 5)})
+    df = spark.createDataFrame([(int(p),) for p in np.array(prints, np.uint64).view(np.int64)], "fp long")
+    most = simhash_dedup.items(df, 3, block).groupBy("_grid", "_cell", "_sub", "_subcell", "_i", "_j").count().agg(F.max("count")).first()[0]
+    assert most <= 5 * block
+    root = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, 3, block)).collect()}
+    got, want = {}, {}
+    for s, p, c in zip(np.array(prints, np.uint64).view(np.int64).tolist(), prints, components_by_force(list(zip(prints, prints)))):
+        got.setdefault(root.get(s, s), set()).add(p)
+        want.setdefault(c, set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) > 300
+
+
+def test_fingerprint_of_long_texts(monkeypatch):
+    rng = random.Random(20)
+    text = " ".join(rng.choice(WORDS) for _ in range(1000))
+    monkeypatch.setattr(simhash_dedup, "CHUNK", 7)
+    assert simhash_dedup.fingerprint(text) == fingerprint_by_force(text)
+
+
 def test_manhattan_never_exceeds_hamming(spark):
     rng = random.Random(6)
     a, b = (np.array([rng.getrandbits(64) for _ in range(500)], np.uint64) for _ in range(2))
@@ -267,7 +293,6 @@ def test_license_scan(spark):
     assert got[2][1][0][0] == "mit" and 0.85 < got[2][1][0][1] < 1
     assert [x[1] for x in got[3:6]] == [[], [], []] and got[6][1] == [("mit-notice", 1.0)] and got[7][1] == []
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
-    assert hashlib.sha256(b"").digest_size == 32
 
 
 def test_license_scan_in_prose():
