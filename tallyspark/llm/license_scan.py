@@ -5,14 +5,17 @@ subsequence of their places keeps order, equal neighbours extend each anchor, an
 anchors are aligned the same way. The share of the template's words that get a partner is its
 coverage; a stretch is reported where coverage reaches ``COVERAGE``.
 
-A text is read once. Two bounds, which no reportable stretch can miss, keep templates from being
-aligned in vain: the text must hold all but ``1 - COVERAGE`` of the template's words, and a
-stretch of ``STRETCH`` template lengths must hold ``COVERAGE`` of its length in words of the
-template. Stretches are taken from the left and do not overlap, so every copy counts, and none
-is longer than a small multiple of its template.
-
-Defined cases: a null or empty text has no findings; texts of any length are read whole; rows with
-a null or repeated id are scanned like others; an empty table gives an empty table; extra columns
+A text is read once. A stretch is looked for in the window of ``STRETCH`` template lengths that starts
+at each word; its pairs give coverage and span. Of all windows the one with the best coverage counts,
+of those the one with the shortest span, of those the first; it is reported, windows that start in
+its span or whose own span overlaps it take no part any more, and so on. So every copy counts, an
+intact copy is reported whole with its true ends whatever stands around it, and no stretch is longer
+than a window. Bounds, which hold for every window, spare most alignments: the text must hold all but
+``1 - COVERAGE`` of the template's words, and a window, counting repeats, that share of its words; windows
+are aligned from the best bound downward, and only while a bound is better than what was found.
+
+Defined cases: a null or empty text has no findings; texts of any length are read whole, in time that
+grows with their length and the license text that they hold; rows with a null or repeated id are scanned like others; an empty table gives an empty table; extra columns
 pass through unless they are named ``licenses``.
 """
 
@@ -22,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -131,34 +135,30 @@ class Scanner:
                 out += [(name, *x) for x in self._stretches(words, template, own)]
         return out
 
-    def _stretches(self, words: list[str], template: list[str], own: frozenset[str]) -> Iterator[tuple[float, int, int]]:
+    def _stretches(self, words: list[str], template: list[str], own: frozenset[str]) -> list[tuple[float, int, int]]:
         need = int(np.ceil(self.coverage * len(template) - 1e-9))
         width = max(int(np.ceil(STRETCH * len(template))), len(template) + 2)
         hit = np.fromiter((w in own for w in words), bool, len(words))
         total = np.concatenate(([0], np.cumsum(hit)))
         ends = np.minimum(np.arange(len(words)) + width, len(words))
-        at = 0
+        wanted, queue = Counter(template), []
         for start in np.flatnonzero(hit & (total[ends] - total[:-1] >= need)).tolist():
-            if start < at:
+            bound = (Counter(words[start : start + width]) & wanted).total()
+            if bound >= need:
+                queue.append((-bound, bound, start, -1))  # a span is never shorter than its pairs
+        heapify(queue)
+        found: list[tuple[float, int, int]] = []
+        while queue:
+            pairs, span, start, first = heappop(queue)
+            if any(a <= start < b for _, a, b in found):
                 continue
-            pairs = patience_align(template, words[start : start + width])
-            if len(pairs) >= need:
-                pairs, first, at = self._settled(words, template, pairs, start, start + width)
-                yield round(len(pairs) / len(template), 6), first, at
-
-    @staticmethod
-    def _settled(words: list[str], template: list[str], pairs: list[tuple[int, int]], start: int, end: int) -> tuple[list[tuple[int, int]], int, int]:
-        """(pairs, first word, end word) of a copy that the window may have cut: its end is followed while coverage rises, words beside it go."""
-        while (further := start + pairs[-1][1] + 1 + int(np.ceil(STRETCH * (len(template) - 1 - pairs[-1][0])))) > end:
-            more = patience_align(template, words[start:further])
-            if len(more) <= len(pairs):
-                break
-            pairs, end = more, further
-        while len(more := patience_align(template, words[start + pairs[0][1] + 1 : end])) >= len(pairs):
-            pairs, start = more, start + pairs[0][1] + 1
-        while len(more := patience_align(template, words[start : start + pairs[-1][1]])) >= len(pairs):
-            pairs = more
-        return pairs, start + pairs[0][1], start + pairs[-1][1] + 1
+            if first < 0:
+                aligned = patience_align(template, words[start : start + width])
+                if len(aligned) >= need:
+                    heappush(queue, (-len(aligned), aligned[-1][1] + 1 - aligned[0][1], start, start + aligned[0][1]))
+            elif not any(a < first + span and first < b for _, a, b in found):
+                found.append((round(-pairs / len(template), 6), first, first + span))
+        return sorted(found, key=lambda x: x[1])
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspark.llm import jpeg_media, license_scan, packing, simhash_dedup
+from tallyspark.llm.queries import op3_jpeg_media
 
 WORDS = [f"word{i}" for i in range(400)]
 
@@ -144,6 +145,28 @@ def test_jpeg_stores_every_byte(spark):
     assert spark.createDataFrame([(None,)], "m binary").select(jpeg_media.read_jpeg(F.col("m")).alias("r")).first().r.payload is None
 
 
+def test_media_query(spark, tmp_path):
+    """Every column of the query by plain means: the payload padded by hand, digests by hashlib and zlib, the stored form decoded once more."""
+    texts = [None, "", "a", "b" * 575, "b" * 576, "ü" * 600, "line\n" * 50_000, "a"]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, media string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op3_jpeg_media(spark, str(tmp_path)).collect()}
+    media = {r.doc_id: bytes(r.m) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", jpeg_media.store_as_jpeg(F.col("text")).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data
+        while not payload or len(payload) % 576:
+            payload += b"\xff"
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        frames = [payload[k : k + 24 * 8184] for k in range(0, len(payload), 24 * 8184)]
+        hashes = [f"{jpeg_media.average_hash(np.frombuffer(f, np.uint8).reshape(-1, 24)):016x}" for f in frames]
+        assert r.feature == f"192x{len(frames[0]) // 24 * 8}:{len(frames)}:{','.join(hashes)}"
+    assert rows[2][1:] == rows[7][1:] and rows[0][1:] == rows[1][1:]
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op3_jpeg_media(spark, f"{tmp_path}/none").count() == 0
+
+
 def jpeg_by_hand(width, height, dc, ac_runs, restart, colour):
     """A baseline picture with AC coefficients, written bit by bit: 16x16 MCUs of 4:2:0 colour, or grey."""
     dc_body, dc_codes = jpeg_media._canonical({s: 4 for s in range(12)})
@@ -304,3 +327,51 @@ def test_license_scan_in_prose():
         before, copy, after = prose(60), license_scan.words_of(isc), prose(60)
         (got,) = scanner.scan(" ".join([*before, *copy, *after]))
         assert got[1] == 1.0 and got[3] == len(before) + len(copy)
+
+
+def stretches_by_force(words, template, coverage):
+    """Every window aligned, the best kept, one after another; no bounds."""
+    width, tried = max(-(-3 * len(template) // 2), len(template) + 2), []
+    for start in range(len(words)):
+        pairs = license_scan.patience_align(template, words[start : start + width])
+        if pairs and len(pairs) >= coverage * len(template) - 1e-9 and words[start] in template:
+            first, end = start + pairs[0][1], start + pairs[-1][1] + 1
+            tried.append((-len(pairs), end - first, start, first, end))
+    found = []
+    for pairs, _, start, first, end in sorted(tried):
+        if not any(a <= start < b or (a < end and first < b) for _, a, b in found):
+            found.append((round(-pairs / len(template), 6), first, end))
+    return sorted(found, key=lambda x: x[1])
+
+
+def test_license_scan_is_brute_force_without_bounds():
+    """Random edits, noise, repeats, fragments of the same text before a copy."""
+    rng = random.Random(21)
+    names = ["isc", "mit", "gpl-header", "mit-notice", "rights-reserved"]
+    for turn in range(40):
+        name = names[turn % len(names)]
+        template = license_scan.words_of(license_scan.TEMPLATES[name])
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [rng.choice(template) if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(rng.randint(0, 70))]
+            words += [x for w in template if rng.random() > rng.choice([0, 0.05, 0.2]) for x in ([w] if rng.random() > 0.05 else [w, rng.choice(WORDS)])]
+        scanner = license_scan.Scanner({name: license_scan.TEMPLATES[name]})
+        assert [x[1:] for x in scanner.scan(" ".join(words))] == stretches_by_force(words, template, 0.8)
+
+
+def test_an_intact_copy_counts_in_full_whatever_precedes_it():
+    rng = random.Random(22)
+    for name in ("mit", "isc", "bsd-2-clause"):
+        copy = license_scan.words_of(license_scan.TEMPLATES[name])
+        scanner = license_scan.Scanner({name: license_scan.TEMPLATES[name]})
+        for n in (0, 1, 60, 90, 200):
+            before = [rng.choice(copy) for _ in range(n)]
+            assert (name, 1.0, n, n + len(copy)) in scanner.scan(" ".join([*before, *copy, *before]))
+        assert [x[1:] for x in scanner.scan(" ".join(copy * 50))] == [(1.0, k * len(copy), (k + 1) * len(copy)) for k in range(50)]
+
+
+def test_long_text_is_scanned_whole(spark):
+    filler = "word " * 200_000
+    df = spark.createDataFrame([(1, filler + license_scan.TEMPLATES["isc"] + filler + "All rights reserved.")], "doc_id long, text string")
+    found = sorted((x.license, x.coverage, x.first) for x in license_scan.scan_licenses(df).first().licenses)
+    assert found == [("isc", 1.0, 200_000), ("rights-reserved", 1.0, 400_000 + len(license_scan.words_of(license_scan.TEMPLATES["isc"])))]
