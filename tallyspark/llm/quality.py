@@ -8,12 +8,15 @@ matrix, of fixed size, reaches the driver to be solved. *Isotonic calibration*:
 counted in ``CELLS`` bins of equal width, pooled so that they never fall, and
 interpolated; the bins, again of fixed number, are all that the driver sees.
 
-Labels serve training alone. A score depends on the text only.
+Labels serve training alone: those of about ``TRAIN`` documents, chosen by a hash of their ids, or all
+where there are fewer. This bounded table is broadcast to the documents, so that only labelled texts are
+measured for training and no text moves. A score depends on the text only.
 
 Defined cases: a null text counts as empty and is scored like any text; labels that are null are
 left out, several labels of one document are averaged; labelled ids that no document has are
 ignored, documents that repeat an id each get their own score; without any usable label every
-score is 0.5; an empty table gives an empty table; extra columns are ignored.
+score is 0.5; an empty table gives an empty table; extra columns are ignored; a text of any length is
+measured whole, in one task.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ FEATURES, WIDTH, RIDGE, SEED = 160, 4.0, 1.0, 5
 #: Bins of the raw score for calibration, over this range of scores.
 CELLS, RANGE = 400, (-0.5, 1.5)
 SCALE = 1 << 20
+#: Labelled documents that a fit learns from, about.
+TRAIN = 50_000
 
 _SYMBOLS = [c for c in b"#$%&*+<=>@^_`{|}~\\/[]"]
 _END = re.compile(r"[#$%&*!|]{2,}(?=\s|$)")
@@ -71,14 +76,9 @@ def _statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATS)), pa.array(rows.ravel()))
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with stats: array<double>."""
-    return docs.withColumn("stats", _statistics(F.coalesce(F.col(text_col), F.lit(""))))
-
-
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stats) for every row."""
-    return with_statistics(docs.select(id_col, text_col), text_col).select(id_col, "stats")
+def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
+    """``docs`` with the statistics: array<double>."""
+    return docs.withColumn(name, _statistics(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 @dataclass
@@ -164,14 +164,14 @@ def fit(train: DataFrame) -> Model:
     return model
 
 
-def apply(stats: DataFrame, model: Model) -> DataFrame:
-    """``stats`` with score (0 to 1)."""
+def apply(stats: DataFrame, model: Model, stats_col: str = "stats", name: str = "score") -> DataFrame:
+    """``stats`` with a score (0 to 1)."""
 
     @F.pandas_udf(T.DoubleType())
     def of(values: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array(values.tolist(), np.float64).reshape(-1, len(STATS))))
 
-    return stats.withColumn("score", of("stats"))
+    return stats.withColumn(name, of(stats_col))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,14 +179,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(stats, y) of the labelled documents that are not held out."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    return stats.where(~held_out(F.col(id_col))).join(known, id_col).select("stats", "y")
+def known_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = TRAIN) -> DataFrame:
+    """(id, y) of about ``most`` labelled documents that are not held out; all of them where there are fewer."""
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = durable(usable.groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("y")))
+    share = int(min(1.0, most / max(known.count(), 1)) * (1 << 30))
+    return known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = TRAIN) -> DataFrame:
+    """``docs`` with y, those alone that are learnt from. The broadcast side has about ``most`` rows of two numbers."""
+    return docs.join(F.broadcast(known_labels(labels, id_col, label_col, most)), id_col)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, score) for every row of ``docs``, by a model fitted to its labelled rows."""
-    stats = durable(measure(docs, id_col, text_col))
-    model = fit(training_rows(stats, labels, id_col, label_col))
-    return apply(stats, model).select(id_col, "score")
+    train = with_statistics(labelled(docs.select(id_col, text_col), labels, id_col, label_col), text_col)
+    model = fit(durable(train.select("stats", "y")))
+    return apply(with_statistics(docs.select(id_col, text_col), text_col), model).select(id_col, "score")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import jaccard_dedup, line_dedup, neighbours, quality, simhash_dedup, warc_revisit
+from tallyspark.llm import jaccard_dedup, line_dedup, neighbours, quality, warc_revisit
 from tallyspark.llm.queries import op5_quality, op8_neighbours
 
 
@@ -47,6 +47,54 @@ def test_isotonic_is_monotone_and_keeps_the_mean():
     assert np.all(np.diff(fit) >= 0) and np.isclose((fit * counts).sum(), totals.sum())
 
 
+def fit_by_force(stats, y):
+    """Moments, features, ridge and isotonic steps over all rows at once, in plain numpy."""
+    mean = np.array([float(f"{v:.9g}") for v in stats.mean(axis=0)])
+    spread = np.maximum([float(f"{v:.9g}") for v in stats.std(axis=0)], 1e-6)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, 1 / quality.WIDTH, (stats.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.clip((stats - mean) / spread, -6, 6)
+    x = np.array([[1.0, *(row / 6), *np.cos(row @ w + b)] for row in z])
+    weights = np.linalg.lstsq(np.vstack((x, np.sqrt(quality.RIDGE) * np.eye(x.shape[1]))), np.concatenate((y, np.zeros(x.shape[1]))), rcond=None)[0]
+    raw = np.clip(x @ weights, *quality.RANGE)
+    cells = {}
+    for r, t in zip(raw, y):
+        cells.setdefault(min(int((r - quality.RANGE[0]) / (quality.RANGE[1] - quality.RANGE[0]) * quality.CELLS), quality.CELLS - 1), []).append((r, t))
+    cuts = [np.mean([r for r, _ in cells[c]]) for c in sorted(cells)]
+    # the greatest of the least means of runs: isotonic regression by its minimax formula
+    t, n = np.array([sum(v for _, v in cells[c]) for c in sorted(cells)]), np.array([float(len(cells[c])) for c in sorted(cells)])
+    levels = [max(min(t[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(t))) for i in range(k + 1)) for k in range(len(t))]
+    return weights, np.clip(np.interp(raw, cuts, levels), 0, 1)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fit_is_brute_force(spark, parts):
+    rng = np.random.default_rng(6)
+    stats = rng.normal(size=(400, len(quality.STATS))) * rng.uniform(0.1, 9, len(quality.STATS))
+    y = (stats[:, 0] / 5 + rng.normal(size=400) > 0).astype(float)
+    df = spark.createDataFrame([(s.tolist(), float(t)) for s, t in zip(stats, y)], "stats array<double>, y double").repartition(parts)
+    model = quality.fit(df)
+    weights, scores = fit_by_force(stats, y)
+    assert np.allclose(model.weights, weights, atol=1e-4)
+    assert np.abs(model.score(stats) - scores).mean() < 0.01 and np.all(np.diff(model.levels) >= 0)
+    assert np.allclose(sorted(r.score for r in quality.apply(df, model).collect()), np.sort(model.score(stats)))
+
+
+def test_statistics_are_those_of_the_text():
+    text = "One two, two! A|B\n\nlast 12$$ ..."
+    got = dict(zip(quality.STATS, quality.statistics(text)))
+    assert got["log_bytes"] == np.log1p(len(text)) and got["log_words"] == np.log1p(7) and got["digit"] == 2 / len(text) and got["upper"] == 3 / len(text)
+    assert got["lines"] == 3 / 7 and got["distinct_lines"] == 1.0 and got["bang"] == 1 / 7 and got["bar"] == 1 / 7 and got["distinct_words"] == 1.0 and got["repeats"] == 0
+    assert all(np.isfinite(quality.statistics(t)).all() for t in ("", " ", "\n", "x" * 100_000, "\ud800"))
+
+
+def test_training_is_bounded_and_leaves_held_out_rows_aside(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)] + [(None, 1), (5000, None)], "doc_id long, quality int")
+    known = quality.known_labels(labels, most=500).collect()
+    assert 350 < len(known) < 650 and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in known)
+    assert quality.known_labels(labels).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(4000))
+
+
 def nearest_by_force(ids, x, k=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
@@ -183,7 +231,7 @@ def revisits_by_force(rows):
     return out
 
 
-@pytest.mark.parametrize("seconds", [10, 86_400])
+@pytest.mark.parametrize("seconds", [10, 60, 86_400])
 def test_revisits(spark, seconds):
     rng = random.Random(16)
     rows = []
@@ -213,17 +261,39 @@ def test_pipeline(spark, data):
     assert np.mean([i in good for i, q in labels.items() if q == 1]) > 0.95
     want = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(spark.createDataFrame(list(good.values()), docs.schema)).collect()}
     assert {i: r.text for i, r in lines.items()} == want and all(r.n_chars == len(r.text) for r in lines.values())
-    found = simhash_dedup.near_duplicates(spark.createDataFrame(list(lines.values()), docs.schema)).collect()
+    found = jaccard_dedup.near_duplicates(spark.createDataFrame(list(lines.values()), docs.schema)).collect()
     assert set(single) == {r.component_id for r in found}
     packed = corpus_pipeline.run(spark, data).collect()
     assert {r.doc_id for r in packed} == set(single)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, stats int, n_lines string, n_dropped string, kept_text string, component_id int, key string, `a.b` int"
+
+
 def test_stages_take_odd_documents(spark, data):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "x\n" * 3000, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, rows, data).collect()
+    """Nulls, repeats, copies without ids, clashing columns: each stage changes text and n_chars alone, or drops rows."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    texts = [(None, None), (1, None), (1, ""), (2, "a repeated line\n" * 3000), (3, "own words here\na repeated line"), (None, "own words here\na repeated line"), (None, "nobody else says this at all"), (None, "nobody else says this at all"), (4, long), (5, long + " end"), (None, long)]
+    rows = [(i, t, None, "s", k, "score", k, "lines", "dropped", "kept", k, "key", k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ODD)
+
+    def stage(k, df):
+        out = corpus_pipeline.STAGES[k][1](spark, df, data)
+        assert k == 3 or (out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema])
+        return sorted((tuple(r) for r in out.collect()), key=repr)
+
+    own = {repr(r) for r in rows}
+    assert all(repr(r) in own for r in stage(0, docs))
+    lines = {r[6]: r for r in stage(1, docs)}
+    kept = {4: "own words here", 3: "a repeated line\n" * 3000}
+    assert lines.keys() == set(range(len(rows)))
+    for k, r in enumerate(rows):
+        assert lines[k] == (r if k not in kept or r[1] == kept[k] else (*r[:1], kept[k], *r[2:4], len(kept[k]), *r[5:]))
+    left = stage(2, docs)
+    assert sorted(r[6] for r in left if r[6] not in (6, 7)) == [1, 2, 3, 4, 8] and sum(r[6] in (6, 7) for r in left) == 1 and all(repr(r) in own for r in left)
+    assert len(stage(3, docs)) >= len(rows)
+    for k in range(4):
+        assert stage(k, docs.limit(0)) == []
 
 
 def test_near_dedup_stage_keeps_to_jaccard(spark, data):
