@@ -7,7 +7,9 @@ records have one, else the modification dates. A resolved revisit has the respon
 updated by those that a not-modified answer may update (``PERMITTED``).
 
 *As-of join.* Captures are dealt by URL and time slice, and a window looks back inside the slice;
-what earlier slices end with is carried over in a table with one row per URL and slice. So a URL with a third of all captures is spread over its slices, and bodies never move.
+what earlier slices end with is carried over in a table with one row per URL and slice. A slice is a
+minute: a URL with a third of all captures is spread over its minutes, its carried rows are no more
+than the minutes of the crawl, a task holds what one URL got in one of them, and bodies never move.
 
 Defined cases: a capture without URL, time or id is left out; header names are compared in lower
 case and later duplicates of a name win; null headers are none; repeated captures are resolved
@@ -57,7 +59,7 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def resolve_revisits(captures: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(captures: DataFrame, slice_seconds: int = 60) -> DataFrame:
     """From (record_id, url, ts seconds, kind 'response' or 'revisit', headers map, digest): a row per revisit.
 
     (record_id, canonical_url, refers_to, status, merged headers as entries, digest); status is
