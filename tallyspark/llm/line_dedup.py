@@ -6,8 +6,9 @@ except in the document with the smallest id. All other lines stay, in their orde
 
 The text moves once, in the last join. Before it, only hashes, ids and positions move: the
 distinct (hash, document) pairs are dealt by both, so that a line which every document holds is
-counted in parts. The repeated keys are cut off in the shared folder, so that the join back to the
-lines has a shuffle of its own on either side and Spark can split its hot partitions.
+counted in parts. The keys of all lines, a fraction of the text's size, are made once and kept in the
+shared folder, and so are the repeated ones, so that the join of the two has a shuffle of its own on
+either side and Spark can split its hot partitions.
 
 Defined cases: a null or empty text is one empty line and stays; a null ``doc_id`` takes no part
 (its lines neither count nor drop); rows that repeat a ``doc_id`` are one document for the count;
@@ -62,7 +63,7 @@ def _reassemble(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with n_lines (before), n_dropped and kept_text."""
-    lines = line_keys(docs, id_col, text_col, min_chars)
+    lines = durable(line_keys(docs, id_col, text_col, min_chars))
     drops = (
         lines.join(durable(repeated_keys(lines, min_docs)), ["_h1", "_h2"]).where(F.col("_doc") > F.col("_keeper"))
         .groupBy("_doc", "_text").agg(F.collect_set("_pos").alias("_drop"))
