@@ -25,8 +25,10 @@ links, at most one per fingerprint, never all pairs. Counts of cells, smallest n
 of components are cut off in the shared folder before they are joined, so that each join has a
 shuffle of its own on either side and Spark can split a hot cell, centre or component.
 
-*Components* come from alternating large-star and small-star rounds over the links, which move
-only ids and end when nothing changes; each round is cut off in the shared checkpoint folder.
+*Components.* Links are dealt into partitions of about ``PER_TASK``; each is contracted to a spanning
+forest by union-find in its task. Where that is more than one partition, alternating large-star and
+small-star rounds follow, which move only ids and end when nothing changes; each round is cut off in
+the shared checkpoint folder.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and is linked
 like any other; a text of any length is read whole, its shingles ``CHUNK`` at a time; fewer words than a shingle make one shingle; rows with a null id get a fingerprint
@@ -56,6 +58,8 @@ LOW = 0x5555555555555555
 CHUNK = 200_000
 #: Most fingerprints in a block of a hot cell; a work item holds two blocks.
 BLOCK = 1024
+#: Links that a task contracts, about.
+PER_TASK = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -106,13 +110,9 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return high | low | (high & low) << np.uint64(1)
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``fps``: pairs (fingerprint, smallest of its tree)."""
-    near = np.bitwise_count(_unary(fps)[:, None] ^ _unary(fps)[None, :]) <= radius
-    a, b = np.nonzero(near)
-    keep = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
-    a, b = a[keep], b[keep]
-    root = np.arange(len(fps))
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest that the links (a, b) reach."""
+    root = np.arange(n)
     while len(a):
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -123,6 +123,16 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             break
     while not np.array_equal(root, root[root]):
         root = root[root]
+    return root
+
+
+def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among ``fps``: pairs (fingerprint, smallest of its tree)."""
+    near = np.bitwise_count(_unary(fps)[:, None] ^ _unary(fps)[None, :]) <= radius
+    a, b = np.nonzero(near)
+    keep = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= radius)
+    a, b = a[keep], b[keep]
+    root = _roots(a, b, len(fps))
     other = np.nonzero(root != np.arange(len(fps)))[0]
     return fps[other], fps[root[other]]
 
@@ -197,7 +207,22 @@ def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(find, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _contracted(pairs: DataFrame, parts: int) -> DataFrame:
+    """(a, b): a spanning forest of each partition's links, every node joined to the smallest of its tree."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if held:
+            nodes, place = np.unique(np.concatenate([np.concatenate(x) for x in zip(*held)]), return_inverse=True)
+            one, other = np.split(place, 2)
+            root = _roots(one, other, len(nodes))
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+    return pairs.repartition(parts, "a", "b").mapInArrow(forest, "a long, b long")
+
+
+def components(links: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for every node of a link but the roots."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -209,15 +234,16 @@ def components(links: DataFrame) -> DataFrame:
             return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
-    downward = lambda p: p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    pairs = durable(downward(links))
-    state = None
-    while True:
-        pairs = durable(star(star(pairs, True), False))
+    pairs = durable(links.select("a", "b").where(F.col("a") != F.col("b")))
+    parts = max(1, -(-pairs.count() // per_task))
+    pairs, state = durable(_contracted(pairs, parts)), None
+    while parts > 1:
+        pairs = durable(star(durable(star(pairs, True)), False))
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         state = now
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

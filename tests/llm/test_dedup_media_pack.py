@@ -70,8 +70,8 @@ def test_near_duplicates(spark):
     assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_links_keep_every_component(spark, block):
+@pytest.mark.parametrize("block,per_task", [(4, 100), (1024, 1_000_000)])
+def test_links_keep_every_component(spark, block, per_task):
     """Fingerprints in dense balls and chains, in blocks of hot cells too."""
     rng = random.Random(5)
     prints = {0, (1 << 64) - 1}
@@ -86,7 +86,7 @@ def test_links_keep_every_component(spark, block):
     prints = sorted(prints)
     signed = [int(np.array([p], np.uint64).view(np.int64)[0]) for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    root = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, 3, block)).collect()}
+    root = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, 3, block), per_task).collect()}
     got, want = {}, {}
     for s, c in zip(signed, components_by_force(list(zip(prints, prints)))):
         got.setdefault(root.get(s, s), set()).add(s)
@@ -113,6 +113,15 @@ def test_a_third_of_all_fingerprints_in_one_cell(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) > 300
 
 
+@pytest.mark.parametrize("per_task", [200, 1_000_000])
+def test_components_of_a_star_and_a_chain(spark, per_task):
+    rng = random.Random(23)
+    edges = [(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(5000, 5400)] + [(9000, 9000), (8001, 8000), (8000, 8001)]
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in simhash_dedup.components(spark.createDataFrame(edges, "a long, b long"), per_task).collect()}
+    assert got == {**{i: 0 for i in range(1, 1500)}, **{i: 5000 for i in range(5001, 5401)}, 8001: 8000}
+
+
 def test_fingerprint_of_long_texts(monkeypatch):
     rng = random.Random(20)
     text = " ".join(rng.choice(WORDS) for _ in range(1000))
