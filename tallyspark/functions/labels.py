@@ -49,6 +49,6 @@ def effort_letter(effort: Column) -> Column:
 
 
 def short_model(model: Column, effort: Column, known: Column | None = None) -> Column:
-    """The name from the lookup, else the first characters; an effort as a letter in brackets."""
-    base = F.coalesce(known, F.substring(model, 1, 12)) if known is not None else F.substring(model, 1, 12)
-    return F.when(effort.isNull(), base).otherwise(F.concat(base, F.lit("("), effort_letter(effort), F.lit(")")))
+    """The name from the lookup, else the first 12 characters, 10 before an effort; the effort as a letter in brackets."""
+    known = F.lit(None).cast("string") if known is None else known
+    return F.when(effort.isNull(), F.coalesce(known, F.substring(model, 1, 12))).otherwise(F.concat(F.coalesce(known, F.substring(model, 1, 10)), F.lit("("), effort_letter(effort), F.lit(")")))

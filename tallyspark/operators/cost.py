@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .breakdown import COUNTERS, summed, vendor_totals
+from .breakdown import COUNTERS, model_breakdown, summed, vendor_totals
 
 #: The price that each counter is charged at; the fourth depends on what it counts.
 COSTS = {"input_cost": ("input_tokens", "input"), "output_cost": ("output_tokens", "output"), "cache_read_cost": ("cache_read_tokens", "cache_input")}
@@ -30,18 +30,28 @@ def extra_price() -> Column:
     return F.when(F.col("extra_kind") == "cache_creation", F.col("price_cache_output")).otherwise(F.col("price_output"))
 
 
-def cost_by_type(ledger: DataFrame, prices: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Per vendor and model: cost of each counter, of input and output, of the rest, and in all. Grouped before it is priced."""
-    groups = ledger.groupBy("vendor", "model", "extra_kind").agg(*summed())
+def with_costs(groups: DataFrame, prices: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``groups`` (vendor, model, extra_kind, counters) with the cost of each counter, of input and output, of the rest, and in all."""
     priced = with_prices(groups, prices, defaults)
     costs = {name: _money(F.col(c), F.col(f"price_{p}")) for name, (c, p) in COSTS.items()} | {"extra_cost": _money(F.col("extra_tokens"), extra_price())}
-    out = priced.select("vendor", "model", *[v.alias(k) for k, v in costs.items()])
-    return out.withColumns({
+    return priced.select(*groups.columns, *[v.alias(k) for k, v in costs.items()]).withColumns({
         "io_cost": F.col("input_cost") + F.col("output_cost"), "cache_cost": F.col("cache_read_cost") + F.col("extra_cost"),
         "total_cost": F.col("input_cost") + F.col("output_cost") + F.col("cache_read_cost") + F.col("extra_cost"),
     })
 
 
+def cost_by_type(ledger: DataFrame, prices: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Per vendor and model: the costs. Grouped before it is priced."""
+    return with_costs(ledger.groupBy("vendor", "model", "extra_kind").agg(*summed()), prices, defaults).drop("extra_kind", *COUNTERS)
+
+
+def priced_breakdown(ledger: DataFrame, prices: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Per vendor and model: messages, counters, totals and total cost, from one pass over the ledger."""
+    groups = with_costs(model_breakdown(ledger, ["vendor", "model", "extra_kind"]), prices, defaults)
+    numbers = ["messages", *COUNTERS, "total_tokens", "total_with_cache", "total_cost"]
+    return groups.groupBy("vendor", "model").agg(*[F.sum(c).alias(c) for c in numbers])
+
+
 def cost_share(costs: DataFrame, parts: list[str] = ["input_cost", "output_cost", "cache_read_cost", "extra_cost"]) -> DataFrame:  # noqa: B006
     """(part, cost, percent): what each part is of all cost."""
     total = costs.agg(*[F.coalesce(F.sum(F.col(p).cast("decimal(38,12)")), F.lit(0)).alias(p) for p in parts])
@@ -73,10 +83,11 @@ def projection(ledger: DataFrame, prices: DataFrame, defaults: DataFrame, days:
 
 
 def weighted_cost(ledger: DataFrame, prices: DataFrame, defaults: DataFrame, days: float) -> DataFrame:
-    """One row: cost per million tokens weighted by the vendors' share of tokens, and the saving of all; a row per vendor becomes two sums."""
+    """One row: cost per million tokens weighted by the vendors' share of tokens, and the saving of all; zeros for an empty ledger."""
     each = projection(ledger, prices, defaults, days)
     return each.agg(
-        (F.sum(F.col("tokens") * F.col("cost_per_mtok")) / F.sum("tokens")).alias("weighted_cost_per_mtok"), F.sum("saving").alias("total_saving"), F.sum("tokens").alias("tokens"),
+        _over(F.sum(F.col("tokens") * F.col("cost_per_mtok")), F.sum("tokens").cast("double")).alias("weighted_cost_per_mtok"),
+        F.coalesce(F.sum("saving"), F.lit(0.0)).alias("total_saving"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
     )
 
 

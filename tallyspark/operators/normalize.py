@@ -18,14 +18,18 @@ def drop_repeats(df: DataFrame, by: list[str], order: list[str], key: list[str])
     return df.withColumn("_previous", previous).where(~F.struct(*key).eqNullSafe(F.col("_previous"))).drop("_previous")
 
 
-def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; rows that lack part of the key all stay and never meet in one task."""
+def whole_key(key: list[str]) -> Column:
+    """Whether no part of the key is missing or empty."""
     whole = F.lit(True)
     for k in key:
         whole = whole & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
-    whole = F.coalesce(whole, F.lit(False))
-    kept = df.where(whole).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
-    return kept.unionByName(df.where(~whole))
+    return F.coalesce(whole, F.lit(False))
+
+
+def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key; rows that lack part of the key all stay, each under a key of its own. One pass over the input."""
+    own = F.when(~whole_key(key), F.monotonically_increasing_id())
+    return df.withColumn("_own", own).withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_own").orderBy(*order))).where("_n = 1").drop("_n", "_own")
 
 
 def unseen(df: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:

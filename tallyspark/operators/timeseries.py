@@ -107,9 +107,8 @@ def extent(series: DataFrame, value: str = "tokens") -> DataFrame:
 
 def chart_frame(series: DataFrame, key: str = "vendor", value: str = "tokens", levels: int = 20) -> DataFrame:
     """What a line chart of an aggregated series draws: level, direction from the bucket before, and day boundaries."""
-    top = series.agg(F.max(value)).scalar()
-    limit = axis_limit(top)
-    high = F.when(limit == 0, 5000).otherwise(limit)
+    top = series.agg(axis_limit(F.max(value)).alias("limit"))
+    high = top.select(F.when(F.col("limit") == 0, 5000).otherwise(F.col("limit"))).scalar()
     lined = Window.partitionBy(key).orderBy("bucket")
     out = series.withColumn("level", level(F.col(value), F.lit(0), high, levels)).withColumn("_before", F.coalesce(F.lag("level").over(lined), F.col("level")))
     direction = F.when(F.col("level") > F.col("_before"), "up").when(F.col("level") < F.col("_before"), "down").otherwise("flat")

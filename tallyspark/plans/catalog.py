@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.timebuckets import auto_interval
 from ..operators import breakdown, cost, filters, normalize, timeseries
 from ..sources import incremental, logs
+from ..sources.schemas import LEDGER
 from ..sources.scratch import shared_folder
 from ..streaming import refresh
-from .ledger_view import DEFAULTS_SQL, LEDGER_SQL, PRICES_SQL, event_lines, ledger, pricing, session_docs, table, usage_lines
+from .ledger_view import DEFAULTS_SQL, LEDGER_SQL, PRICES_SQL, event_lines, ledger, names_by_document, prices_by_document, pricing, session_docs, table, usage_lines
 from .report import usage_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,9 +95,8 @@ FROM g JOIN costs USING (vendor, model) WHERE messages * 1.0 / (SELECT sum(messa
 def model_breakdown(spark, sf_dir):
     """Which models used how many tokens in the last 7 days, and at what cost; without those under 1 % of messages."""
     recent = filters.last_days(ledger(spark, sf_dir), 7)
-    groups = filters.share_threshold(breakdown.model_breakdown(recent, ["vendor", "model"]))
-    priced = groups.join(cost.cost_by_type(recent, *pricing(spark)).select("vendor", "model", "total_cost"), ["vendor", "model"], "left")
-    return breakdown.by_total(breakdown.percent_of_total(priced, "total_tokens", "percent"), key="model")
+    groups = filters.share_threshold(cost.priced_breakdown(recent, *pricing(spark)))
+    return breakdown.by_total(breakdown.percent_of_total(groups, "total_tokens", "percent"), key="model")
 
 
 @query(f"SELECT model_key, regexp_replace(model_key, ' \\([^(]*\\)$', '') AS base_model, {_COUNTS}, {_TOTALS} FROM ledger WHERE vendor = 'Codex' GROUP BY model_key")
@@ -267,7 +267,8 @@ def cost_share(spark, sf_dir):
 
 @query(f"{_PRICED % ''} SELECT vendor, CAST(sum(exact) AS DOUBLE) / 1e6 AS api_cost FROM costs GROUP BY vendor")
 def api_cost_by_vendor(spark, sf_dir):
-    return cost.api_cost(ledger(spark, sf_dir), *pricing(spark))
+    """Prices come from a document, as a user keeps them."""
+    return cost.api_cost(ledger(spark, sf_dir), *prices_by_document(spark))
 
 
 _PROJECTED = f"""{_PRICED % ''}, each AS (
@@ -312,11 +313,12 @@ def first_seen(spark, sf_dir):
     return normalize.first_seen(hashed, ["lang", "h"], ["doc_id"]).select("doc_id", "lang")
 
 
-@query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = d.text)")
+@query("SELECT doc_id FROM documents d WHERE source <> (SELECT min(source) FROM documents) AND text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = (SELECT min(source) FROM documents) AND o.text = d.text)")
 def unseen_keys(spark, sf_dir):
-    """Documents that the even half does not hold."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("h"))
-    return normalize.unseen(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), ["h"]).select("doc_id")
+    """Documents of all other sources whose text the first source, which stands for an existing ledger, does not hold."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    first = table(spark, sf_dir, "documents").agg(F.min("source")).scalar()
+    return normalize.unseen(docs.where(F.col("source") != first), docs.where(F.col("source") == first), ["h"]).select("doc_id")
 
 
 @query(f", g AS (SELECT model_key, count(*) AS n FROM ledger GROUP BY 1) SELECT {_bucket(720)} AS bucket, model_key, CAST(sum({_ALL}) AS BIGINT) AS tokens FROM ledger WHERE model_key IN (SELECT model_key FROM g WHERE n * 1.0 / (SELECT sum(n) FROM g) >= 0.05) GROUP BY 1, 2")
@@ -335,7 +337,7 @@ def nonempty_series(spark, sf_dir):
 
 
 def _names(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES ('Claude', 'm3', 'Large', 1), ('Claude', 'm1', 'Small', 2), ('Gemini', 'm2', 'Swift', 3) AS n(vendor, model, short_name, sort_order)")
+    return names_by_document(spark)
 
 
 @query(f"""SELECT model AS model_key, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, any_value(o) AS sort_order,
@@ -416,34 +418,104 @@ def session_bounds(spark, sf_dir):
     return out.select("source_file", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")])
 
 
-@query(f"SELECT strftime(event_ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS messages, {_sums()} FROM ledger WHERE event_id % 7 <> 6 AND event_id % 10 <> 9 AND event_id % 11 <> 10 GROUP BY 1")
+@query(f""", kept AS (SELECT *, event_id - CASE WHEN event_id % 10 = 9 THEN 1 ELSE 0 END AS mid FROM ledger WHERE event_id % 7 <> 6 AND event_id % 11 <> 10),
+first AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY user_id % 2, 'user=' || user_id || '/', event_id) AS k FROM kept)
+SELECT strftime(event_ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS messages, {_sums()} FROM first WHERE k = 1 GROUP BY 1""")
 def incremental_refresh(spark, sf_dir):
-    """Logs land as files, are parsed, grow by more files, and only those are parsed again; the ledger by day at the end."""
-    folder, rows = shared_folder(spark, "logs"), ledger(spark, sf_dir).where("event_id % 10 <> 9")
-    lines = usage_lines(rows).repartition("source_file").sortWithinPartitions("source_file", "ord").select("line", (F.substring_index("source_file", "/", -1).cast("long") % 2).alias("half"))
-    lines.where("half = 0").select("line").write.text(f"{folder}/projects/a", compression="none")
-
-    def parse(paths: list[str]) -> DataFrame:
-        return logs.usage_rows(logs.read_lines(spark, paths, "*.txt", rank_by=[f"{folder}/projects"]))
-
-    empty = spark.createDataFrame([], incremental.MANIFEST)
-    known, manifest = incremental.refresh(spark, [f"{folder}/projects"], "*.txt", empty, parse([]), parse)
-    known.write.parquet(f"{folder}/ledger-1")
-    manifest.write.parquet(f"{folder}/manifest-1")
-    lines.where("half = 1").select("line").write.text(f"{folder}/projects/b", compression="none")
-    known, _ = incremental.refresh(spark, [f"{folder}/projects"], "*.txt", spark.read.parquet(f"{folder}/manifest-1"), spark.read.parquet(f"{folder}/ledger-1"), parse)
+    """Logs land as a file per user, are parsed, more files land, and only those are parsed again; messages repeat across the files of both steps; the ledger by day at the end."""
+    folder = shared_folder(spark, "logs")
+    lines = usage_lines(ledger(spark, sf_dir)).withColumn("user", F.substring_index("source_file", "/", -1).cast("long")).repartition("user").sortWithinPartitions("user", "ord").select("line", "user")
+
+    def parse(listing: DataFrame) -> DataFrame:
+        return logs.usage_rows(logs.read_lines(spark, [f"{folder}/projects"], "*.txt", listing=listing))
+
+    known, manifest = spark.createDataFrame([], LEDGER), spark.createDataFrame([], incremental.MANIFEST)
+    for step, half in enumerate("ab"):
+        lines.where(F.col("user") % 2 == step).write.partitionBy("user").text(f"{folder}/projects/{half}", compression="none")
+        known, manifest = incremental.refresh(spark, [f"{folder}/projects"], "*.txt", manifest, known, parse)
+        known.write.parquet(f"{folder}/ledger-{step}")
+        known = spark.read.parquet(f"{folder}/ledger-{step}")
     return logs.first_messages(known).groupBy(F.date_format("event_ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("messages"), *breakdown.summed())
 
 
-@query(f"SELECT bucket, vendor, CAST(sum(n) AS BIGINT) AS tokens FROM ({_VENDOR}) GROUP BY 1, 2")
-def stream_vendor_series(spark, sf_dir):
-    """The hourly vendor series of a stream over ledger files that landed in three parts."""
-    folder = shared_folder(spark, "stream")
-    landed = ledger(spark, sf_dir).select("vendor", F.col("event_ts").cast("timestamp").alias("event_ts"), *breakdown.COUNTERS, (F.col("event_id") % 3).alias("part"))
-    landed.repartition(3, "part").drop("part").write.parquet(f"{folder}/in")
-    schema = "vendor STRING, event_ts TIMESTAMP, " + ", ".join(f"{c} LONG" for c in breakdown.COUNTERS)
-    rows = refresh.read_landed(spark, f"{folder}/in", schema, files_per_batch=1)
-    stream = refresh.keep_current(refresh.series_stream(rows, 60, late="40 days"), refresh.append_updates(f"{folder}/out"), f"{folder}/state")
+@query(f"""SELECT i AS root_rank, CAST(count(*) AS BIGINT) AS messages, {_sums()} FROM (
+  SELECT *, CASE WHEN vendor = 'Claude' THEN 0 ELSE 1 END AS i, row_number() OVER (PARTITION BY mid ORDER BY CASE WHEN vendor = 'Claude' THEN 0 ELSE 1 END, event_id) AS k
+  FROM (SELECT *, event_id - CASE WHEN event_id % 10 = 9 THEN 1 ELSE 0 END AS mid FROM ledger WHERE event_id % 7 <> 6 AND event_id % 11 <> 10)) WHERE k = 1 GROUP BY 1""")
+def ranked_roots(spark, sf_dir):
+    """Messages of two roots, the second inside the first and with a space in its name, of which the inner one comes first."""
+    folder, rows = shared_folder(spark, "roots"), ledger(spark, sf_dir)
+    outer, inner = f"{folder}/logs", f"{folder}/logs/my logs+%20"
+    for root, own in ((inner, F.col("vendor") == "Claude"), (outer + "/x", F.col("vendor") != "Claude")):
+        usage_lines(rows.where(own)).repartitionByRange("ord").sortWithinPartitions("ord").select("line").write.text(root, compression="none")
+    found = logs.usage_log(logs.read_lines(spark, [inner, outer], "*.txt", whole=False))
+    return found.groupBy(F.col("source_root").cast("int").alias("root_rank")).agg(F.count("*").alias("messages"), *breakdown.summed())
+
+
+STREAM_SCHEMA = "vendor STRING, event_ts TIMESTAMP, " + ", ".join(f"{c} LONG" for c in breakdown.COUNTERS)
+
+
+def _streamable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select("vendor", F.col("event_ts").cast("timestamp").alias("event_ts"), *breakdown.COUNTERS)
+
+
+def _series_run(spark: SparkSession, folder: str, late: str):
+    """Run the hourly vendor series over all that has landed, from where it stopped before."""
+    rows = refresh.read_landed(spark, f"{folder}/in", STREAM_SCHEMA, files_per_batch=100)
+    stream = refresh.keep_current(refresh.series_stream(rows, 60, late=late), refresh.append_updates(f"{folder}/out"), f"{folder}/state")
     stream.awaitTermination()
+    return stream
+
+
+def _series_now(spark: SparkSession, folder: str) -> DataFrame:
     current = refresh.latest_of(f"{folder}/out", spark, ["bucket", "vendor"], "tokens")
     return current.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "vendor", "tokens")
+
+
+@query(f"SELECT bucket, vendor, CAST(sum(n) AS BIGINT) AS tokens FROM ({_VENDOR}) GROUP BY 1, 2")
+def stream_vendor_series(spark, sf_dir):
+    """The hourly vendor series of a stream over ledger files that land in three parts, in time order; the stream is stopped and started again after each.
+
+    The watermark is three days beyond the span of a part, so that the order of files inside it does not matter.
+    """
+    folder, rows = shared_folder(spark, "stream"), _streamable(spark, sf_dir)
+    first, last = rows.agg(F.min("event_ts"), F.max("event_ts")).first()
+    days = (last - first).days // 3 + 1 if first else 1
+    part = F.floor((F.unix_micros("event_ts") - F.unix_micros(F.lit(first))) / (days * 86_400_000_000))
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        _series_run(spark, folder, f"{days + 3} days")
+    return _series_now(spark, folder)
+
+
+@query(f""", b AS ({_VENDOR}), w AS (SELECT max(bucket) - to_hours(72) AS mark FROM b WHERE vendor <> 'Gemini')
+SELECT bucket, vendor, CAST(sum(n) AS BIGINT) AS tokens, CASE WHEN vendor = 'Gemini' AND bucket <= (SELECT mark FROM w) THEN 'backfill' ELSE 'stream' END AS way FROM b GROUP BY ALL""")
+def stream_late_rows(spark, sf_dir):
+    """A vendor's rows land after all others and a restart: those within three days of the newest update the stream, older ones are left to the batch backfill."""
+    folder, rows = shared_folder(spark, "late"), _streamable(spark, sf_dir)
+    rows.where(F.col("vendor") != "Gemini").write.parquet(f"{folder}/in")
+    mark = refresh.watermark_of(_series_run(spark, folder, "3 days"))
+    rows.where(F.col("vendor") == "Gemini").write.mode("append").parquet(f"{folder}/in")
+    _series_run(spark, folder, "3 days")
+    filled = timeseries.vendor_series(refresh.late_rows(rows.where(F.col("vendor") == "Gemini"), 60, mark)).where(F.col("vendor") != "All")
+    return _series_now(spark, folder).withColumn("way", F.lit("stream")).unionByName(filled.withColumn("way", F.lit("backfill")))
+
+
+@query("""SELECT message_id, request_id, CASE WHEN message_id = '' OR request_id IS NULL THEN CAST(count(*) AS BIGINT) ELSE 1 END AS messages FROM (
+  SELECT CASE WHEN event_type = 'error' THEN '' ELSE 'm' || user_id END AS message_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS request_id FROM events) GROUP BY 1, 2""")
+def stream_first_seen(spark, sf_dir):
+    """The first of each user and kind of event in a stream that is started twice; rows with an empty or no part of the key all pass."""
+    folder = shared_folder(spark, "dedupe")
+    events = table(spark, sf_dir, "events")
+    rows = events.select(
+        F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("m"), F.col("user_id").cast("string"))).alias("message_id"),
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("request_id"), F.col("ts").cast("timestamp").alias("event_ts"), "user_id",
+    )
+    first, last = rows.agg(F.min("event_ts"), F.max("event_ts")).first()
+    late = f"{(last - first).days + 1 if first else 1} days"  # no key may be forgotten before the end
+    middle = rows.agg(F.percentile_approx("user_id", 0.5)).first()[0]
+    for low in (True, False):  # keys repeat inside a step and, where they are empty, across both
+        rows.where((F.col("user_id") <= middle) == low).drop("user_id").write.mode("append").parquet(f"{folder}/in")
+        stream = refresh.read_landed(spark, f"{folder}/in", "message_id STRING, request_id STRING, event_ts TIMESTAMP")
+        kept = refresh.first_seen_stream(stream, ["message_id", "request_id"], "event_ts", late)
+        refresh.keep_current(kept, refresh.append_updates(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("message_id", "request_id").agg(F.count("*").alias("messages"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.normalize import model_key
+from ..sources.names import read_names
+from ..sources.pricing import read_pricing
+from ..sources.scratch import shared_folder
 
 VENDORS = ["Claude", "Codex", "Gemini"]
 EXTRA = {"Claude": "cache_creation", "Codex": "reasoning", "Gemini": "thinking"}
@@ -65,6 +70,28 @@ def pricing(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.sql(PRICES_SQL), spark.sql(DEFAULTS_SQL)
 
 
+def _document(spark: SparkSession, name: str, content: dict) -> str:
+    """The path of a JSON document in the shared folder."""
+    folder = shared_folder(spark, name)
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
+def prices_by_document(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The same prices, kept as a document and read from it."""
+    prices, defaults = ([r.asDict() for r in df.collect()] for df in pricing(spark))  # a row per model and per vendor
+    numbers = lambda r: {n: float(r[n]) for n in _NAMES}
+    content = {d["vendor"].lower(): {
+        "subscription_price": float(d["subscription_price"]), "default": numbers(d), "models": {p["model"]: numbers(p) for p in prices if p["vendor"] == d["vendor"]},
+    } for d in defaults}
+    return read_pricing(spark, _document(spark, "prices", content | {"_meta": {"unit": "million tokens"}}))
+
+
+def names_by_document(spark: SparkSession) -> DataFrame:
+    """Display names of some models of this ledger, read from a document."""
+    return read_names(spark, _document(spark, "names", {"Claude": {"m3": {"short": "Large", "order": 1}, "m1": {"short": "Small", "order": 2}}, "Gemini": {"m2": {"short": "Swift", "order": 3}}}))
+
+
 def log_lines(rows: DataFrame, line) -> DataFrame:
     """Lines of a session log per user, numbered by event."""
     return rows.select(F.concat(F.lit("/logs/"), F.col("user_id").cast("string")).alias("source_file"), F.lit(0).alias("root_rank"), F.col("event_id").cast("int").alias("ord"), line.alias("line"))

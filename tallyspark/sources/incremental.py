@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .logs import existing
+from .logs import existing, file_path
+from .scratch import shared_folder
 
 MANIFEST = "path string, modified timestamp, length long"
 
@@ -18,7 +19,7 @@ def list_files(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame
     if not roots:
         return spark.createDataFrame([], MANIFEST)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
-    return files.select(F.col("path"), F.col("modificationTime").alias("modified"), F.col("length"))
+    return files.select(file_path().alias("path"), F.col("modificationTime").alias("modified"), F.col("length"))
 
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -30,17 +31,20 @@ def gone_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(files.select("path"), "path", "left_anti")
 
 
-def refresh(spark: SparkSession, roots: list[str], pattern: str, manifest: DataFrame, ledger: DataFrame, parse: Callable[[list[str]], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(ledger, manifest) brought up to date. ``parse`` makes ledger rows of a list of files.
+def refresh(spark: SparkSession, roots: list[str], pattern: str, manifest: DataFrame, ledger: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(ledger, manifest) brought up to date. ``parse`` makes ledger rows of a listing (path, modified, length).
 
-    The list of changed file names is all that the driver holds: it is what a reader takes as its
-    paths. Rows of changed and of deleted files are replaced, others stay untouched. What depends
-    on other files, such as which of repeated messages counts, is not for ``parse``: the ledger
-    keeps every row, and ``logs.first_messages`` is applied to it after each refresh.
+    The listing is written before anything is parsed, and is what the new manifest says: a file that
+    grows meanwhile may be read with more rows than listed, and is then parsed again next time. Only the
+    oldest time of the changed files reaches the driver. Rows of changed and of deleted files are
+    replaced, others stay untouched. What depends on other files, such as which of repeated messages
+    counts, is not for ``parse``: the ledger keeps every row, and ``logs.first_messages`` is applied to it
+    after each refresh, so that it equals a full read.
     """
-    files = list_files(spark, roots, pattern)
-    paths = [r.path for r in changed_files(files, manifest).select("path").collect()]
-    stale = changed_files(files, manifest).select("path").union(gone_files(files, manifest).select("path"))
-    key = F.regexp_replace("source_file", "^file:/+", "/")
-    kept = ledger.withColumn("_path", key).join(stale.select(F.regexp_replace("path", "^file:/+", "/").alias("_path")), "_path", "left_anti").drop("_path")
-    return (kept.unionByName(parse(paths)) if paths else kept), files
+    folder = shared_folder(spark, "listing")
+    list_files(spark, roots, pattern).write.parquet(folder)
+    files = spark.read.parquet(folder)
+    changed = changed_files(files, manifest)
+    stale = changed.select("path").union(gone_files(files, manifest).select("path"))
+    kept = ledger.join(stale.select(F.col("path").alias("source_file")), "source_file", "left_anti").select(*ledger.columns)
+    return kept.unionByName(parse(changed)), files

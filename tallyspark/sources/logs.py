@@ -1,22 +1,42 @@
 """Session logs of three layouts as one ledger.
 
 Lines are read as text and parsed against explicit schemas. What cannot be parsed is returned by
-``quarantine``, never dropped silently. Only the event log needs line order: it is read by whole
-files (session files are small), with lines numbered inside.
+``quarantine``, never dropped silently. Line order matters to the event log and to repeats: files are
+read whole, with lines numbered inside, unless they are large, which Spark splits.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timebuckets import parse_timestamp
 from ..operators.normalize import carry_forward, drop_repeats, first_seen, model_key, session_bounds
-from .schemas import EVENT_LOG, LEDGER_COLUMNS, SESSION_DOCUMENT, USAGE_LOG
+from .schemas import EVENT_LOG, LEDGER_COLUMNS, SESSION_DOCUMENT, USAGE, USAGE_LOG
 
 NEW_LINE = "\r\n|\n|\r"
 
 
+#: Files up to this size are read whole, one value each; larger ones are split by Spark and their lines put in order after.
+WHOLE_BYTES = 256 << 20
+#: Where each vendor's tool keeps its logs, and the variable that overrides it.
+ROOTS = {"Claude": ("CLAUDE_CONFIG_DIR", ["~/.config/claude", "~/.claude"]), "Codex": ("CODEX_CONFIG_DIR", ["~/.codex"]), "Gemini": ("GEMINI_CONFIG_DIR", ["~/.gemini"])}
+INSIDE = {"Claude": "projects", "Codex": "sessions", "Gemini": "tmp"}
+
+
+def vendor_roots(vendor: str, override: str | None = None) -> list[str]:
+    """The folders of a vendor's logs, first rank first: of the override, else of the environment, else the defaults.
+
+    Only the first vendor's override may name several folders, separated by commas.
+    """
+    variable, defaults = ROOTS[vendor]
+    given = override or os.environ.get(variable)
+    named = ([p.strip() for p in given.split(",") if p.strip()] if vendor == "Claude" else [given]) if given else [os.path.expanduser(p) for p in defaults]
+    return [f"{p.rstrip('/')}/{INSIDE[vendor]}" for p in named]
+
+
 def existing(spark: SparkSession, roots: list[str]) -> list[str]:
     """The roots that exist, in their order; asked of the file system that Spark itself uses."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -24,32 +44,65 @@ def existing(spark: SparkSession, roots: list[str]) -> list[str]:
     return [r for r in roots if path(r).getFileSystem(conf).exists(path(r))]
 
 
-def _root_rank(roots: list[str]) -> Column:
-    """Which root a file is under, from 0."""
+def file_path() -> Column:
+    """The path of the file that a row was read from, as the file system spells it."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _file() -> list[Column]:
+    return [file_path().alias("source_file"), F.col("_metadata.file_modification_time").alias("_modified")]
+
+
+def _root_rank(spark: SparkSession, roots: list[str]) -> Column:
+    """Which root a file is under, from 0; of nested roots the innermost, of equal ones the first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(r) for r in roots]
+    places = [p.getFileSystem(conf).makeQualified(p).toString().rstrip("/") + "/" for p in paths]
     out = F.lit(len(roots))
-    for i, r in reversed(list(enumerate(roots))):
-        out = F.when(F.contains("source_file", F.lit(r.split(":", 1)[-1].replace("//", "/").rstrip("/") + "/")), i).otherwise(out)
+    for i in sorted(range(len(roots)), key=lambda i: (len(places[i]), -i)):
+        out = F.when(F.startswith("source_file", F.lit(places[i])), i).otherwise(out)
     return out
 
 
-def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", rank_by: list[str] | None = None, whole: bool = True) -> DataFrame:
+def _only(files: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """Rows (with ``source_file`` and ``_modified``) of the listed files; Spark does not open files older than the oldest listed one."""
+    if listing is None:
+        return files
+    oldest = listing.agg(F.min("modified")).first()[0]
+    recent = files.where(F.col("_modified") >= F.lit(oldest)) if oldest else files.where(F.lit(False))
+    return recent.join(listing.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+
+
+def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", whole: bool | None = None, listing: DataFrame | None = None) -> DataFrame:
     """(source_file, root_rank, ord, line): the lines that are not blank, numbered in their file.
 
-    ``rank_by``: the roots whose order decides what was seen first, if they are not those that are read.
-    ``whole``: files are read whole, which suits many session files; without it large files are
-    split, and their lines are numbered by the place of the split and the order inside it.
+    ``whole``: True reads files as one value each, which suits many session files; False splits them and
+    orders their lines by the place of the split and the order inside it; both give the same rows. Left
+    out, the size of each file decides (``WHOLE_BYTES``). ``listing``: (path, modified); other files of the
+    roots are left aside.
     """
     roots = existing(spark, roots)
-    ranks = roots if rank_by is None else rank_by
     if not roots:
         return spark.createDataFrame([], "source_file string, root_rank int, ord int, line string")
-    files = spark.read.text(roots, wholetext=whole, recursiveFileLookup=True, pathGlobFilter=pattern)
-    if whole:
-        named = files.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", NEW_LINE)).alias("ord", "line"))
-    else:
-        placed = files.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
-        named = placed.withColumn("ord", F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "_id")) - 1)
-    return named.withColumn("line", F.trim("line")).where(F.col("line") != "").select("source_file", _root_rank(ranks).alias("root_rank"), "ord", "line")
+    small = F.col("_metadata.file_size") <= WHOLE_BYTES
+    if whole is None:
+        return _whole_lines(spark, roots, pattern, listing, small).unionByName(_split_lines(spark, roots, pattern, listing, ~small))
+    return (_whole_lines if whole else _split_lines)(spark, roots, pattern, listing, F.lit(True))
+
+
+def _whole_lines(spark: SparkSession, roots: list[str], pattern: str, listing: DataFrame | None, which: Column) -> DataFrame:
+    files = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).where(which).select(*_file(), "value")
+    return _trimmed(_only(files, listing).select("source_file", F.posexplode(F.split("value", NEW_LINE)).alias("ord", "line")), _root_rank(spark, roots))
+
+
+def _split_lines(spark: SparkSession, roots: list[str], pattern: str, listing: DataFrame | None, which: Column) -> DataFrame:
+    files = spark.read.text(roots, recursiveFileLookup=True, pathGlobFilter=pattern).where(which)
+    placed = _only(files.select(*_file(), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")), listing)
+    return _trimmed(placed.withColumn("ord", F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "_id")) - 1), _root_rank(spark, roots))
+
+
+def _trimmed(lines: DataFrame, rank: Column) -> DataFrame:
+    return lines.withColumn("line", F.trim("line")).where(F.col("line") != "").select("source_file", rank.alias("root_rank"), "ord", "line")
 
 
 def _is_object(line: Column) -> Column:
@@ -79,12 +132,14 @@ def _ledger(df: DataFrame) -> DataFrame:
 
 def usage_rows(lines: DataFrame) -> DataFrame:
     """The records with usage, repeats too."""
-    usage = F.get_json_object("line", "$.message.usage")  # an empty object is no usage, whatever the schema sees in it
-    rows = _parsed(lines, USAGE_LOG).where(F.startswith(usage, F.lit("{")) & ~F.rlike(usage, F.lit(r"^\{\s*\}$"))).select(
+    usage = F.col("r.message.usage")  # still text: an empty object is no usage, whatever a schema sees in it
+    found = lines.where(F.contains("line", F.lit('"usage"'))).withColumn("r", F.from_json("line", USAGE_LOG))
+    some = found.where(F.startswith(usage, F.lit("{")) & ~F.rlike(usage, F.lit(r"^\{\s*\}$")) & _is_object(F.col("line")))
+    rows = some.withColumn("u", F.from_json(usage, USAGE)).select(
         F.lit("Claude").alias("vendor"), F.col("root_rank").cast("string").alias("source_root"), "root_rank", "source_file", "ord", F.col("r.timestamp").alias("ts_raw"),
         F.coalesce("r.message.model", F.lit("unknown")).alias("model"), F.col("r.message.id").alias("message_id"), F.col("r.requestId").alias("request_id"),
-        _counter("r.message.usage.input_tokens").alias("input_tokens"), _counter("r.message.usage.output_tokens").alias("output_tokens"),
-        _counter("r.message.usage.cache_read_input_tokens").alias("cache_read_tokens"), _counter("r.message.usage.cache_creation_input_tokens").alias("extra_tokens"),
+        _counter("u.input_tokens").alias("input_tokens"), _counter("u.output_tokens").alias("output_tokens"),
+        _counter("u.cache_read_input_tokens").alias("cache_read_tokens"), _counter("u.cache_creation_input_tokens").alias("extra_tokens"),
         F.lit("cache_creation").alias("extra_kind"),
     )
     return _ledger(rows)
@@ -138,7 +193,7 @@ def read_documents(spark: SparkSession, roots: list[str], pattern: str = "sessio
     if not roots:
         return spark.createDataFrame([], f"source_file string, root_rank int, {SESSION_DOCUMENT}, corrupt string")
     docs = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(roots)
-    return docs.select(F.col("_metadata.file_path").alias("source_file"), "messages", F.col("_corrupt").alias("corrupt")).select("source_file", _root_rank(roots).alias("root_rank"), "messages", "corrupt")
+    return docs.select(file_path().alias("source_file"), "messages", F.col("_corrupt").alias("corrupt")).select("source_file", _root_rank(spark, roots).alias("root_rank"), "messages", "corrupt")
 
 
 def broken_documents(docs: DataFrame) -> DataFrame:
@@ -169,6 +224,6 @@ def read_ledger(spark: SparkSession, usage_roots: list[str] = [], event_roots: l
 
 
 def write_ledger(ledger: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by vendor and date, each date's rows together."""
+    """Parquet by vendor and date, a date's rows together; Spark splits a date that is too large for one task."""
     dated = ledger.withColumn("event_date", F.to_date("event_ts"))
-    dated.repartition("vendor", "event_date").write.mode(mode).partitionBy("vendor", "event_date").parquet(path)
+    dated.hint("rebalance", "vendor", "event_date").write.mode(mode).partitionBy("vendor", "event_date").parquet(path)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-USAGE_LOG = (
-    "timestamp STRING, requestId STRING, message STRUCT<id: STRING, model: STRING, "
-    "usage: STRUCT<input_tokens: LONG, output_tokens: LONG, cache_creation_input_tokens: LONG, cache_read_input_tokens: LONG>>"
-)
+USAGE_LOG = "timestamp STRING, requestId STRING, message STRUCT<id: STRING, model: STRING, usage: STRING>"
+USAGE = "input_tokens LONG, output_tokens LONG, cache_creation_input_tokens LONG, cache_read_input_tokens LONG"
 EVENT_LOG = (
     "type STRING, timestamp STRING, payload STRUCT<type: STRING, timestamp: STRING, model: STRING, effort: STRING, "
     "info: STRUCT<last_token_usage: STRUCT<input_tokens: LONG, cached_input_tokens: LONG, output_tokens: LONG, reasoning_output_tokens: LONG>>>"

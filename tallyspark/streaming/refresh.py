@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timebuckets import bucket_start
 from ..operators.breakdown import COUNTERS
+from ..operators.normalize import whole_key
 from ..operators.timeseries import spread
 
 
@@ -23,11 +24,8 @@ def read_landed(spark: SparkSession, path: str, schema: str, kind: str = "parque
 
 
 def first_seen_stream(rows: DataFrame, key: list[str], ts: str, late: str) -> DataFrame:
-    """The first row of each whole key within the watermark; rows without a whole key all pass."""
-    whole = F.lit(True)
-    for k in key:
-        whole = whole & F.col(k).isNotNull()
-    marked = rows.withWatermark(ts, late)
+    """The first row of each whole key within the watermark; rows that lack part of the key, or have it empty, all pass."""
+    marked, whole = rows.withWatermark(ts, late), whole_key(key)
     return marked.where(whole).dropDuplicatesWithinWatermark(key).unionByName(marked.where(~whole))
 
 
@@ -64,3 +62,13 @@ def append_updates(path: str) -> Callable[[DataFrame, int], None]:
         rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/part={batch}")
 
     return sink
+
+
+def watermark_of(query: StreamingQuery) -> str | None:
+    """The watermark that a query has reached: buckets up to it take no more rows."""
+    return (query.lastProgress or {}).get("eventTime", {}).get("watermark")
+
+
+def late_rows(ledger: DataFrame, minutes: int, watermark: str) -> DataFrame:
+    """Rows that the stream of this series has left out, for the batch backfill."""
+    return ledger.where(F.col("event_ts").isNotNull() & (bucket_start(F.col("event_ts"), minutes).cast("timestamp") <= F.lit(watermark).cast("timestamp")))

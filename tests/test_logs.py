@@ -6,8 +6,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions.labels import short_model
 from tallyspark.functions.timebuckets import parse_timestamp
-from tallyspark.sources import incremental, logs, pricing
+from tallyspark.plans.ledger_view import ledger as ledger_of
+from tallyspark.plans.ledger_view import usage_lines
+from tallyspark.sources import incremental, logs, names, pricing, scratch
+from tallyspark.sources.schemas import LEDGER
 
 
 def write(path, lines):
@@ -117,28 +121,28 @@ def test_incremental(spark, tmp_path):
     calls = []
 
     def parse(paths):
-        calls.append(len(paths))
-        return logs.usage_log(logs.read_lines(spark, paths, rank_by=[str(root)]))
+        calls.append(paths.count())
+        return logs.usage_log(logs.read_lines(spark, [str(root)], listing=paths))
 
     def settled(df, name):
         df.write.parquet(str(tmp_path / name))
         return spark.read.parquet(str(tmp_path / name))
 
-    ledger, manifest = incremental.refresh(spark, [str(root)], "*.jsonl", spark.createDataFrame([], incremental.MANIFEST), parse([]), parse)
+    ledger, manifest = incremental.refresh(spark, [str(root)], "*.jsonl", spark.createDataFrame([], incremental.MANIFEST), spark.createDataFrame([], LEDGER), parse)
     ledger, manifest = settled(ledger, "l1"), settled(manifest, "m1")
     write(root / "a.jsonl", [message(t, "1", "a"), message(t, "3", "grown")])
     write(root / "c.jsonl", [message(t, "4", "c")])
     (root / "b.jsonl").unlink()
     ledger, manifest = incremental.refresh(spark, [str(root)], "*.jsonl", manifest, ledger, parse)
-    assert sorted(r.message_id for r in ledger.collect()) == ["a", "c", "grown"] and calls == [0, 2, 2] and manifest.count() == 2
+    assert sorted(r.message_id for r in ledger.collect()) == ["a", "c", "grown"] and calls == [2, 2] and manifest.count() == 2
 
 
 def test_repeats_over_refreshes(spark, tmp_path):
     """A message of an old and of a new file counts once; it comes back when the file that won goes."""
     t, root = "2025-12-11T23:18:08Z", tmp_path / "r"
     write(root / "b.jsonl", [message(t, "1", "a"), message(t, "2", "b")])
-    parse = lambda paths: logs.usage_rows(logs.read_lines(spark, paths, rank_by=[str(root)]))
-    ledger, manifest = parse([]), spark.createDataFrame([], incremental.MANIFEST)
+    parse = lambda listing: logs.usage_rows(logs.read_lines(spark, [str(root)], listing=listing))
+    ledger, manifest = spark.createDataFrame([], LEDGER), spark.createDataFrame([], incremental.MANIFEST)
     for k, want in enumerate([[("a", "b"), ("b", "b")], [("a", "a"), ("b", "b")], [("a", "b"), ("b", "b")]]):
         if k == 1:
             write(root / "a.jsonl", [message(t, "1", "a")])
@@ -151,6 +155,83 @@ def test_repeats_over_refreshes(spark, tmp_path):
         assert sorted((r.message_id, r.source_file[-7]) for r in logs.first_messages(ledger).collect()) == want
 
 
+def test_a_file_that_grows_while_it_is_parsed(spark, tmp_path):
+    """The manifest says what was listed before the parse, so the rows that came meanwhile are parsed next time."""
+    t, root = "2025-12-11T23:18:08Z", tmp_path / "r"
+    write(root / "a.jsonl", [message(t, "1", "a")])
+    parse = lambda listing: logs.usage_rows(logs.read_lines(spark, [str(root)], listing=listing))
+
+    def growing(listing):
+        write(root / "a.jsonl", [message(t, "1", "a"), message(t, "2", "b")])
+        return parse(listing)
+
+    ledger, manifest = incremental.refresh(spark, [str(root)], "*.jsonl", spark.createDataFrame([], incremental.MANIFEST), spark.createDataFrame([], LEDGER), growing)
+    ledger.write.parquet(str(tmp_path / "l"))
+    again, _ = incremental.refresh(spark, [str(root)], "*.jsonl", manifest, spark.read.parquet(str(tmp_path / "l")), parse)
+    assert sorted(r.message_id for r in logs.first_messages(again).collect()) == ["a", "b"]
+
+
+def test_ranks_of_roots(spark, tmp_path):
+    """Roots with spaces and signs, nested roots, a root whose name begins like another's."""
+    t = "2025-12-11T23:18:08Z"
+    roots = [str(tmp_path / n) for n in ("a b", "a b/in+ner", "a b%20c", "ü")]
+    for i, r in enumerate(roots):
+        write(tmp_path / r / "x.jsonl", [message(t, "r", "same", usage={"input_tokens": i + 1}), message(t, "r", f"own{i}")])
+    for order in (roots, roots[::-1]):
+        for whole in (None, True, False):
+            lines = logs.read_lines(spark, order, whole=whole)
+            assert {(r.source_file.rsplit("/", 1)[0].removeprefix("file:"), r.root_rank) for r in lines.collect()} == {(r, i) for i, r in enumerate(order)}
+        (one,) = logs.usage_log(logs.read_lines(spark, order)).where("message_id = 'same'").collect()
+        assert one.input_tokens == roots.index(order[0]) + 1
+
+
+def test_both_readers_give_the_same_rows(spark, tmp_path, monkeypatch):
+    for name, n in (("a", 5), ("b", 4000)):
+        write(tmp_path / f"s/{name}.jsonl", ["" if i % 9 == 4 else f'{{"n": {i}}}' for i in range(n)])
+    seen = lambda **k: sorted(tuple(r) for r in logs.read_lines(spark, [str(tmp_path / "s")], **k).collect())
+    want = seen(whole=True)
+    monkeypatch.setattr(logs, "WHOLE_BYTES", 1000)
+    assert seen() == seen(whole=False) == want and len(want) > 3000
+
+
+def test_vendor_roots(monkeypatch):
+    for v in ("CLAUDE_CONFIG_DIR", "CODEX_CONFIG_DIR", "GEMINI_CONFIG_DIR"):
+        monkeypatch.delenv(v, raising=False)
+    monkeypatch.setenv("HOME", "/h")
+    assert logs.vendor_roots("Claude") == ["/h/.config/claude/projects", "/h/.claude/projects"]
+    assert logs.vendor_roots("Codex") == ["/h/.codex/sessions"] and logs.vendor_roots("Gemini") == ["/h/.gemini/tmp"]
+    assert logs.vendor_roots("Claude", " /a , ,/b/") == ["/a/projects", "/b/projects"]
+    monkeypatch.setenv("CODEX_CONFIG_DIR", "/c,d")
+    assert logs.vendor_roots("Codex") == ["/c,d/sessions"]
+
+
+def test_usage_log_scans_once(spark, data):
+    plan = logs.usage_log(usage_lines(ledger_of(spark, data)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_names(spark, tmp_path):
+    (tmp_path / "n.json").write_text(json.dumps({"_note": {}, "Codex": {"gpt-5-codex": {"short": "GPT-5 Codex", "order": 2}, "x": {"short": "X"}}}))
+    assert sorted((r.model, r.short_name, r.sort_order) for r in names.read_names(spark, str(tmp_path / "n.json")).collect()) == [("gpt-5-codex", "GPT-5 Codex", 2), ("x", "X", None)]
+    known = names.known_names(spark)
+    assert known.count() == 27 and known.where("sort_order is not null").count() == 5
+    one = spark.createDataFrame([("a-very-long-model", "high", None), ("a-very-long-model", None, None), ("o3", "low", "o3")], "m string, e string, k string")
+    assert [r.n for r in one.select(short_model(F.col("m"), F.col("e"), F.col("k")).alias("n")).collect()] == ["a-very-lon(H)", "a-very-long-", "o3(L)"]
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://x"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_folder(Session, "x")
+
+
 def test_pricing(spark, tmp_path):
     price = {"input": 1.5, "output": 7.5, "cache_input": 0.15, "cache_output": 1.875, "_comment": "note"}
     (tmp_path / "p.json").write_text(json.dumps({"_meta": {"about": 1}, "claude": {"subscription_price": 200, "models": {"a": price, "b": price}, "default": price}, "gemini": {"subscription_price": 19.99, "models": {}, "default": price}}, indent=1))
