@@ -9,7 +9,9 @@ the model. Decoding maps ids back to their bytes.
 The serialised model (about 1 MB, as large as the vocabulary and not as the data) goes to the
 executors as a broadcast. Each Python worker keeps a bounded memory of pre-tokens.
 
-Defined cases: a null text is an empty one and gives no ids; null or unknown ids decode to nothing.
+Defined cases: a null text is an empty one and gives no ids; null or unknown ids decode to nothing; a
+text of any length is encoded whole, in one task; repeated rows are encoded each; an empty table gives
+an empty table; other columns pass through, but for those named like the result's, which are replaced.
 """
 
 from __future__ import annotations

@@ -12,16 +12,19 @@ tables are decoded side by side in numpy, one code of each interval per step. Th
 any baseline picture with one interleaved scan (grey or YCbCr, with AC coefficients, with or
 without restart intervals) and gives its luminance thumbnail.
 
-Pictures are handled a few at a time (``BATCH_BYTES``), so memory does not grow with a text.
+Pictures are coded and decoded a few at a time (``BATCH_BYTES``), so beyond the value itself memory
+does not grow with a text, and the end of a scan is looked for in pieces, so time grows in proportion.
 
 Defined cases: a null text is an empty one and stores 576 bytes of 255; equal texts give equal
-bytes; null media decode to nulls; repeated rows and extra columns pass through.
+bytes; a very long text is several pictures in one value; null media decode to nulls; an empty table
+gives an empty table; repeated rows and extra columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -182,12 +185,24 @@ def parse_pictures(media: bytes) -> list[Picture]:
     return out
 
 
+def _scan_end(media: bytes, at: int) -> int:
+    """Where the marker that ends a scan stands: no stuffed byte, restart or fill."""
+    while at < len(media) - 1:
+        raw = np.frombuffer(media, np.uint8, min(BATCH_BYTES, len(media) - at), at)
+        ff = np.flatnonzero(raw[:-1] == 0xFF)
+        after = raw[ff + 1]
+        ends = ff[(after != 0) & ((after < 0xD0) | (after > 0xD7)) & (after != 0xFF)]
+        if len(ends):
+            return at + int(ends[0])
+        at += max(len(raw) - 1, 1)
+    return len(media)
+
+
 def _take_scan(p: Picture, media: bytes, at: int) -> int:
-    raw = np.frombuffer(media, np.uint8, offset=at)
+    stop = _scan_end(media, at) - at
+    raw = np.frombuffer(media, np.uint8, min(stop + 1, len(media) - at), at)
     ff = np.flatnonzero(raw[:-1] == 0xFF)
     after = raw[ff + 1]
-    end = ff[(after != 0) & ((after < 0xD0) | (after > 0xD7)) & (after != 0xFF)][:1]
-    stop = int(end[0]) if len(end) else len(raw)
     ff, after = ff[ff < stop], after[ff < stop]
     keep = np.ones(stop, bool)
     keep[ff[after == 0] + 1] = False
@@ -344,8 +359,9 @@ def _decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         values = media.to_pylist()
         for part in _in_batches([len(m or b"") for m in values]):
             parsed = [parse_pictures(m) if m is not None else [] for m in values[part]]
-            thumbs = iter(thumbnails([p for own in parsed for p in own]))
-            for m, own in zip(values[part], parsed, strict=True):
+            pictures = [p for own in parsed for p in own]
+            thumbs = chain.from_iterable(thumbnails(pictures[some]) for some in _in_batches([len(p.data) for p in pictures]))
+            for own in parsed:
                 mine = [next(thumbs) for _ in own]
                 row = (b"".join(t.tobytes() for t in mine), own[0].width, own[0].height, len(own), [f"{average_hash(t):016x}" for t in mine]) if own else (None,) * 5
                 for c, v in zip(columns, row, strict=True):

@@ -17,8 +17,9 @@ packing migrates to the next island. An island stops early at the lower bound.
 again starting from what they are, so that it can only improve.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; rows with a null id
-or a repeated id are packed like others (each row gets its pieces); an empty table gives an empty
-table; extra columns are ignored.
+or a repeated id are packed like others (each row gets its pieces); a text of any length is encoded
+whole in one task, word by word, so a single word of many megabytes goes through the tokenizer at once;
+an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -154,6 +154,17 @@ def test_jpeg_stores_every_byte(spark):
     assert spark.createDataFrame([(None,)], "m binary").select(jpeg_media.read_jpeg(F.col("m")).alias("r")).first().r.payload is None
 
 
+def test_long_media_in_small_batches(spark, monkeypatch):
+    """Pictures of one value are decoded a few at a time, scans found in pieces, with the same result."""
+    rng = np.random.default_rng(24)
+    payloads = [rng.integers(0, 256, 24 * 8184, np.uint8).tobytes(), rng.integers(0, 256, 576, np.uint8).tobytes()]
+    media = b"".join(jpeg_media.encode_payloads(payloads))
+    monkeypatch.setattr(jpeg_media, "BATCH_BYTES", 1001)
+    pictures = jpeg_media.parse_pictures(media)
+    assert [t.tobytes() for t in jpeg_media.thumbnails(pictures)] == payloads
+    assert [x for x in jpeg_media._in_batches([len(p.data) for p in pictures])] == [slice(0, 1), slice(1, 2)]
+
+
 def test_media_query(spark, tmp_path):
     """Every column of the query by plain means: the payload padded by hand, digests by hashlib and zlib, the stored form decoded once more."""
     texts = [None, "", "a", "b" * 575, "b" * 576, "ü" * 600, "line\n" * 50_000, "a"]
