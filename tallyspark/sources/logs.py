@@ -133,8 +133,9 @@ def _ledger(df: DataFrame) -> DataFrame:
 def usage_rows(lines: DataFrame) -> DataFrame:
     """The records with usage, repeats too."""
     usage = F.col("r.message.usage")  # still text: an empty object is no usage, whatever a schema sees in it
-    found = lines.where(F.contains("line", F.lit('"usage"'))).withColumn("r", F.from_json("line", USAGE_LOG))
-    some = found.where(F.startswith(usage, F.lit("{")) & ~F.rlike(usage, F.lit(r"^\{\s*\}$")) & _is_object(F.col("line")))
+    # a generator of one row keeps the filter above it from parsing each line once more
+    found = lines.where(_is_object(F.col("line"))).select("*", F.explode(F.array(F.from_json("line", USAGE_LOG))).alias("r"))
+    some = found.where(F.rlike(usage, F.lit(r"^\{\s*[^\s}]")))
     rows = some.withColumn("u", F.from_json(usage, USAGE)).select(
         F.lit("Claude").alias("vendor"), F.col("root_rank").cast("string").alias("source_root"), "root_rank", "source_file", "ord", F.col("r.timestamp").alias("ts_raw"),
         F.coalesce("r.message.model", F.lit("unknown")).alias("model"), F.col("r.message.id").alias("message_id"), F.col("r.requestId").alias("request_id"),
