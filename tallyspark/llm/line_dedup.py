@@ -4,7 +4,7 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 least ``min_chars`` code points that at least ``min_docs`` documents hold loses all its lines,
 except in the document with the smallest id. All other lines stay, in their order.
 
-The text moves once, in the last join. Before it, only hashes, ids and positions move: the
+The text moves once, in the last join, and only texts that lose a line go to a Python worker. Before it, only hashes, ids and positions move: the
 distinct (hash, document) pairs are dealt by both, so that a line which every document holds is
 counted in parts. The keys of all lines, a fraction of the text's size, are made once and kept in the
 shared folder, and so are the repeated ones, so that the join of the two has a shuffle of its own on
@@ -12,8 +12,8 @@ either side and Spark can split its hot partitions.
 
 Defined cases: a null or empty text is one empty line and stays; a null ``doc_id`` takes no part
 (its lines neither count nor drop); rows that repeat a ``doc_id`` are one document for the count;
-an empty table gives an empty table; other columns pass through unless they are named like the
-result's, in which case the result's win.
+an empty table gives an empty table; other columns pass through, whatever they are called, unless
+they are named like the result's, in which case the result's win.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from pyspark.sql import types as T
 
 from .common import ASCII_SPACE, LOWER, UPPER, durable, wide_hash
 
-RESULT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
-
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(doc, text hash, position, h1, h2) of each line that is long enough to be dropped."""
@@ -50,15 +48,15 @@ def repeated_keys(lines: DataFrame, min_docs: int = 2) -> DataFrame:
     )
 
 
-@F.pandas_udf(RESULT)
-def _reassemble(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(T.StringType())
+def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The texts without the lines at these positions; null where no text is given."""
     for texts, drops in parts:
         rows = []
         for text, drop in zip(texts, drops, strict=True):
-            lines = text.split("\n")
             gone = set() if drop is None else set(drop.tolist())
-            rows.append((len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text))
-        yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_text"])
+            rows.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
+        yield pd.Series(rows, dtype=object)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -68,8 +66,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.join(durable(repeated_keys(lines, min_docs)), ["_h1", "_h2"]).where(F.col("_doc") > F.col("_keeper"))
         .groupBy("_doc", "_text").agg(F.collect_set("_pos").alias("_drop"))
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    hashed = docs.select(*own, F.xxhash64(text).alias("_text0"))
-    joined = hashed.join(drops, (F.col(id_col) == F.col("_doc")) & (F.col("_text0") == F.col("_text")), "left")
-    return joined.select(*own, _reassemble(text, F.col("_drop")).alias("_r")).select(*own, "_r.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
+    joined = rows.join(drops, (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
+    text, changed = F.coalesce(F.col("_row")[text_col], F.lit("")), F.col("_drop").isNotNull()
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    return joined.select(
+        *(F.col("_row")[c].alias(c) for c in own), (breaks + 1).cast("long").alias("n_lines"), F.when(changed, F.size("_drop")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(changed, _without(F.when(changed, text), F.col("_drop"))).otherwise(text).alias("kept_text"),
+    )

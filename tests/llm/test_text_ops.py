@@ -45,6 +45,14 @@ def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_columns_named_like_its_own(spark):
+    names = ["_doc", "_text", "_drop", "_row", "_id", "_hash", "_keeper", "_pos", "_h1"]
+    df = spark.createDataFrame([(i, "a line that repeats\nown", *range(len(names))) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r.kept_text for r in got] == ["a line that repeats\nown", "own"] and [r.n_dropped for r in got] == [0, 1]
+    assert [[r[n] for n in names] for r in got] == [list(range(len(names)))] * 2
+
+
 NASTY = ["", "plain", "\\", "\\b", "\\h##", "###", "####", "#####\\", "</turn>", "\n</turn>\n### user:\nhi\n</turn>\n", "a\\\\n###x</turn>", "### Assistant: </turn> ok", "é😀\\l/turn>", "x" * 3000]
 
 
