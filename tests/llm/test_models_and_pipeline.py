@@ -330,6 +330,20 @@ def test_near_dedup_stage_keeps_to_jaccard(spark, data):
     assert jaccard_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_copies_are_reduced_before_they_move(spark):
+    """Without a broadcast, as on large tables: nothing is shuffled below the first reduction of the texts."""
+    rows = spark.range(40).selectExpr("id % 2 as key", "'same' as text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = jaccard_dedup.one_of_each(rows, spark.range(1).select(F.col("id").alias("key")))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in out.collect()] == [(0, "same")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = plan[plan.index("partial_first") :]
+    assert "Exchange" not in below[: below.index("Range")] and "SortMergeJoin" in plan
+
+
 def test_many_ties_take_little_memory(monkeypatch):
     """Copies all tie: the k smallest ids stay, and memory does not grow with queries times copies."""
     monkeypatch.setattr(neighbours, "AT_ONCE", 1 << 16)
