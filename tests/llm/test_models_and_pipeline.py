@@ -330,6 +330,19 @@ def test_near_dedup_stage_keeps_to_jaccard(spark, data):
     assert jaccard_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_strays_in_a_large_group_cost_no_pairs_inside_it(spark):
+    """What the largest component of a bucket holds is dealt once for each block of strays; every pair with a stray meets once."""
+    members = spark.range(2003).selectExpr("0 as _band", "7L as _cell", "2003L as _n", "5L as _main", "2000L as _m", "id as key", "if(id < 2000, 5L, id) as root")
+    rows = jaccard_dedup.rest_items(members, 50).collect()
+    assert len(rows) == 2000 + 3 * (1 + 40)
+    met = {}
+    for r in rows:
+        met.setdefault((r._i, r._j), []).append(r)
+    assert max(map(len, met.values())) < 150
+    pairs = [(a.key, b.key) for (i, j), item in met.items() for a in item for b in item if a._own == i and b._own == j and (i != j or a.key < b.key)]
+    assert len(pairs) == len(set(pairs)) and {frozenset(p) for p in pairs} == {frozenset((s, o)) for s in range(2000, 2003) for o in range(2003) if o != s}
+
+
 def test_copies_are_reduced_before_they_move(spark):
     """Without a broadcast, as on large tables: nothing is shuffled below the first reduction of the texts."""
     rows = spark.range(40).selectExpr("id % 2 as key", "'same' as text")
