@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, neighbours, packing, quality, simhash_dedup, warc_revisit
+from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, merkle, neighbours, packing, quality, simhash_dedup, warc_revisit
 from .common import table
 
 #: The conversation that is added to those of the table: it says what the template itself says.
@@ -161,13 +161,49 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses")).select("doc_id", "col.*")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.case_tampered(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql(low: int = 7, high: int = 5) -> str:
+    """Levels enough for 16**7 leaves of a source and 16**5 sources; a level without a step above it passes its node on."""
+    parts = [r"""WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS c FROM documents, crc)"""]
+    field = lambda v: f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')"
+    head = " || ".join(map(field, ["doc_id", "source", "lang", "n_chars"]))
+    parts.append(f"leaves AS (SELECT rid, doc_id, source AS tree, sha256({head} || {field('text')}) AS h, sha256({head} || {field('CASE WHEN c % 5 = 0 THEN translate(text, ' + repr('ABCDEFGHIJKLMNOPQRSTUVWXYZ') + ', ' + repr('abcdefghijklmnopqrstuvwxyz') + ') ELSE text END')}) AS other FROM docs)")
+    parts.append("n0 AS (SELECT rid, tree, h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves)")
+    parts.append("c0 AS (SELECT rid, tree, idx, '' AS proof, other AS folded FROM leaves JOIN n0 USING (rid, tree, h) WHERE tree IS NOT NULL UNION ALL SELECT l.rid, l.tree, idx, '', other FROM leaves l JOIN n0 USING (rid) WHERE l.tree IS NULL)")
+    level = 0
+
+    def rise(levels: int) -> None:
+        nonlocal level
+        for _ in range(levels):
+            k, level = level, level + 1
+            parts.append(f"n{level} AS (SELECT tree, idx // 16 AS idx, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h, list(h ORDER BY idx) AS kids, any_value(n) AS m, (any_value(n) + 15) // 16 AS n FROM n{k} GROUP BY tree, idx // 16)")
+            before, after = "array_to_string(kids[1:c.idx % 16], '')", "array_to_string(kids[c.idx % 16 + 2:], '')"
+            parts.append(f"c{level} AS (SELECT rid, c.tree, c.idx // 16 AS idx, proof || {before} || {after} AS proof, CASE WHEN m = 1 THEN folded ELSE sha256({before} || folded || {after}) END AS folded FROM c{k} c JOIN n{level} p ON c.tree IS NOT DISTINCT FROM p.tree AND c.idx // 16 = p.idx)")
+
+    rise(low)
+    parts.append(f"subs AS (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM n{level})")
+    tops = level
+    level += 1
+    parts.append(f"n{level} AS (SELECT 0 AS tree, idx, subroot AS h, n FROM subs)")
+    parts.append(f"c{level} AS (SELECT rid, 0 AS tree, s.idx, proof, folded FROM c{tops} c JOIN subs s ON c.tree IS NOT DISTINCT FROM s.source)")
+    rise(high)
+    return ",\n".join(parts) + f"""
+SELECT l.doc_id, l.h AS leaf, s.subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.h AS verified
+FROM c{level} c JOIN leaves l USING (rid) JOIN subs s ON l.tree IS NOT DISTINCT FROM s.source CROSS JOIN n{level} r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup, "op2_warc_revisits": op2_warc_revisits, "op3_jpeg_media": op3_jpeg_media, "op4_chat_format": op4_chat_format,
         "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op8_neighbours": op8_neighbours, "op9_byte_bpe": op9_byte_bpe,
-        "op10_license_scan": op10_license_scan,
+        "op10_license_scan": op10_license_scan, "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": OP2_SQL, "op4_chat_format": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op2_warc_revisits": OP2_SQL, "op4_chat_format": OP4_SQL, "op7_line_dedup": OP7_SQL, "op13_merkle_manifest": _op13_sql()}
