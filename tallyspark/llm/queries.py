@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, merkle, neighbours, packing, quality, simhash_dedup, warc_revisit
+from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, merkle, neighbours, packing, quality, simhash_dedup, warc_revisit, whitening
 from .common import table
 
 #: The conversation that is added to those of the table: it says what the template itself says.
@@ -161,6 +161,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses")).select("doc_id", "col.*")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.case_tampered(table(spark, sf_dir, "documents"))
 
@@ -201,7 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup, "op2_warc_revisits": op2_warc_revisits, "op3_jpeg_media": op3_jpeg_media, "op4_chat_format": op4_chat_format,
         "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op8_neighbours": op8_neighbours, "op9_byte_bpe": op9_byte_bpe,
-        "op10_license_scan": op10_license_scan, "op13_merkle_manifest": op13_merkle_manifest,
+        "op10_license_scan": op10_license_scan, "op11_whitening": op11_whitening, "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
