@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, merkle, neighbours, packing, quality, simhash_dedup, warc_revisit, whitening
+from . import byte_bpe, chat_format, jpeg_media, license_scan, line_dedup, merkle, neighbours, packing, pii, quality, simhash_dedup, warc_revisit, whitening
 from .common import table
 
 #: The conversation that is added to those of the table: it says what the template itself says.
@@ -165,6 +165,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    both = F.sort_array(F.concat("base", "extra"))
+    return found.select(
+        "doc_id", *[pii.counted(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(both).alias("spans"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.case_tampered(table(spark, sf_dir, "documents"))
 
@@ -205,7 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup, "op2_warc_revisits": op2_warc_revisits, "op3_jpeg_media": op3_jpeg_media, "op4_chat_format": op4_chat_format,
         "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op8_neighbours": op8_neighbours, "op9_byte_bpe": op9_byte_bpe,
-        "op10_license_scan": op10_license_scan, "op11_whitening": op11_whitening, "op13_merkle_manifest": op13_merkle_manifest,
+        "op10_license_scan": op10_license_scan, "op11_whitening": op11_whitening, "op12_pii": op12_pii, "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
