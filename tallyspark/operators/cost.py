@@ -45,11 +45,11 @@ def cost_by_type(ledger: DataFrame, prices: DataFrame, defaults: DataFrame) -> D
     return with_costs(ledger.groupBy("vendor", "model", "extra_kind").agg(*summed()), prices, defaults).drop("extra_kind", *COUNTERS)
 
 
-def priced_breakdown(ledger: DataFrame, prices: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Per vendor and model: messages, counters, totals and total cost, from one pass over the ledger."""
-    groups = with_costs(model_breakdown(ledger, ["vendor", "model", "extra_kind"]), prices, defaults)
+def priced_breakdown(ledger: DataFrame, prices: DataFrame, defaults: DataFrame, key: list[str] = ["vendor", "model"]) -> DataFrame:  # noqa: B006
+    """Per vendor and model (and what else ``key`` names): messages, counters, totals and total cost, from one pass over the ledger."""
+    groups = with_costs(model_breakdown(ledger, [*key, "extra_kind"]), prices, defaults)
     numbers = ["messages", *COUNTERS, "total_tokens", "total_with_cache", "total_cost"]
-    return groups.groupBy("vendor", "model").agg(*[F.sum(c).alias(c) for c in numbers])
+    return groups.groupBy(*key).agg(*[F.sum(c).alias(c) for c in numbers])
 
 
 def cost_share(costs: DataFrame, parts: list[str] = ["input_cost", "output_cost", "cache_read_cost", "extra_cost"]) -> DataFrame:  # noqa: B006

@@ -12,10 +12,26 @@ def carry_forward(df: DataFrame, by: list[str], order: list[str], values: dict[s
     return df.withColumns({name: F.coalesce(F.last(F.nullif(v, F.lit("")), ignorenulls=True).over(seen), F.lit(default)) for name, v in values.items()})
 
 
-def drop_repeats(df: DataFrame, by: list[str], order: list[str], key: list[str]) -> DataFrame:
-    """Without rows whose key equals that of the row before, within ``by``."""
-    previous = F.lag(F.struct(*key)).over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_previous", previous).where(~F.struct(*key).eqNullSafe(F.col("_previous"))).drop("_previous")
+def drop_repeats(df: DataFrame, by: list[str], order: list[str], key: list[str], start: Column | None = None) -> DataFrame:
+    """Without rows whose key equals that of the row before, within ``by``; the first row's is compared with ``start``, where given."""
+    place, whole = Window.partitionBy(*by).orderBy(*order), F.struct(*key) if len(key) > 1 else F.col(key[0])
+    previous = F.lag(F.struct(whole.alias("k"))).over(place)["k"]
+    if start is not None:
+        previous = F.when(F.row_number().over(place) == 1, start).otherwise(previous)
+    known = F.lag(F.lit(1)).over(place).isNotNull() | (start.isNotNull() if start is not None else F.lit(False))
+    return df.withColumns({"_previous": previous, "_known": known}).where(~(F.col("_known") & whole.eqNullSafe(F.col("_previous")))).drop("_previous", "_known")
+
+
+def carry_in(df: DataFrame, by: list[str], segment: str, order: list[str], values: list[str]) -> DataFrame:
+    """(by, segment, _first, _value for each value): what a segment starts from, the last value that is not null before it in ``by``.
+
+    _first is the order of the segment's first row. One small row for each segment: only these meet by ``by``.
+    """
+    # the last row as a whole is asked for, so that this reads the same columns as its caller and shares the shuffle
+    ends = df.groupBy(*by, segment).agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(v) for v in values], F.min(order[0]).alias("_first"), F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.where(F.col("_last").isNotNull()).select(*by, segment, "_first", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_{v}") for v in values])
 
 
 def whole_key(key: list[str]) -> Column:

@@ -33,24 +33,54 @@ def token_parts(ledger: DataFrame, hours: int = 1) -> DataFrame:
     return bucketed(ledger, 60 * hours).groupBy("bucket").agg(*summed())
 
 
+def _spanned(df: DataFrame, minutes: int, start: str, end: str, own: str) -> DataFrame:
+    """Rows with their first and last bucket, _a and _b, and the number of buckets from one to the other, _n."""
+    a, b, o = (bucket_start(F.col(c), minutes) for c in (start, end, own))
+    good = F.coalesce(wall_clock(F.col(end)) >= wall_clock(F.col(start)), F.lit(False))
+    rows = df.withColumns({"_a": F.when(good, a).otherwise(o), "_b": F.when(good, b).otherwise(o)}).where(F.col("_a").isNotNull())
+    return rows.withColumn("_n", F.floor(minutes_between(F.col("_a"), F.col("_b")) / minutes) + 1)
+
+
 def spread(df: DataFrame, minutes: int, start: str = "session_start", end: str = "session_end", own: str = "event_ts", counters: list[str] = COUNTERS) -> DataFrame:
     """Each row once per bucket from its start to its end, with an even part of each counter.
 
     A row whose span is missing or runs backwards goes to the bucket of its own time; rows
-    without any time are left out. Aggregate right after, so that parts combine before a shuffle.
+    without any time are left out. For rows one by one; a series comes cheaper from ``spread_series``.
     """
-    a, b, o = (bucket_start(F.col(c), minutes) for c in (start, end, own))
-    good = F.coalesce(wall_clock(F.col(end)) >= wall_clock(F.col(start)), F.lit(False))
-    rows = df.withColumns({"_a": F.when(good, a).otherwise(o), "_b": F.when(good, b).otherwise(o)}).where(F.col("_a").isNotNull())
-    count = F.floor(minutes_between(F.col("_a"), F.col("_b")) / minutes) + 1
     parts = {c: F.coalesce(c, F.lit(0)).cast("double") / F.col("_n") for c in counters}
-    exploded = rows.withColumn("_n", count).withColumn("bucket", F.explode(F.sequence("_a", "_b", step(minutes))))
+    exploded = _spanned(df, minutes, start, end, own).withColumn("bucket", F.explode(F.sequence("_a", "_b", step(minutes))))
     return exploded.withColumns(parts).drop("_a", "_b", "_n")
 
 
-def spread_series(df: DataFrame, minutes: int, key: list[str], **names: str) -> DataFrame:
-    """(bucket, key, counters): spread rows, summed."""
-    return spread(df, minutes, **names).groupBy("bucket", *key).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+def span_ends(df: DataFrame, minutes: int, key: list[str], start: str = "session_start", end: str = "session_end", own: str = "event_ts", counters: list[str] = COUNTERS) -> DataFrame:
+    """(key, n, phase, bucket, counters, rows): two rows for each row of ``df``, whatever its span: what comes in at its first bucket and goes out after its last.
+
+    n is how many buckets share the row; phase is where they lie on the step, as steps that do not divide a day shift.
+    """
+    rows = _spanned(df, minutes, start, end, own)
+    after = F.col("_a") + F.make_dt_interval(mins=F.col("_n").cast("int") * minutes)
+    phase = F.pmod(F.floor(F.unix_micros(F.col("_a").cast("timestamp")) / 60_000_000), F.lit(minutes))
+    ends = F.explode(F.array(F.struct(F.col("_a").alias("b"), F.lit(1).alias("s")), F.struct(after.alias("b"), F.lit(-1).alias("s"))))
+    each = rows.select(*key, F.col("_n").cast("long").alias("n"), phase.cast("long").alias("phase"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counters], ends.alias("_e"))
+    return each.select(*key, "n", "phase", F.col("_e.b").alias("bucket"), *[(F.col(c) * F.col("_e.s")).alias(c) for c in counters], F.col("_e.s").cast("long").alias("rows"))
+
+
+def sweep(ends: DataFrame, minutes: int, key: list[str], counters: list[str] = COUNTERS) -> DataFrame:
+    """(bucket, key, counters): the series whose ``span_ends``, summed by bucket, these are.
+
+    Whole numbers run along the buckets for each n, so that nothing is left over where all spans have ended; each n then divides once.
+    """
+    run = Window.partitionBy(*key, "n", "phase").orderBy("bucket")
+    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
+    level = ends.select(*key, "n", "phase", "bucket", F.lead("bucket").over(run).alias("_next"), *[F.sum(c).over(so_far).alias(c) for c in [*counters, "rows"]]).where("rows > 0")
+    held = level.withColumn("bucket", F.explode(F.sequence("bucket", F.col("_next") - step(minutes), step(minutes))))
+    return held.groupBy("bucket", *key).agg(*[F.sum(F.col(c) / F.col("n")).alias(c) for c in counters])
+
+
+def spread_series(df: DataFrame, minutes: int, key: list[str], counters: list[str] = COUNTERS, **names: str) -> DataFrame:
+    """(bucket, key, counters): rows spread evenly over their spans, summed; no row is made for each bucket of a row's span."""
+    ends = span_ends(df, minutes, key, counters=counters, **names)
+    return sweep(ends.groupBy(*key, "n", "phase", "bucket").agg(*[F.sum(c).alias(c) for c in [*counters, "rows"]]), minutes, key, counters)
 
 
 def vendor_series(ledger: DataFrame, minutes: int = 60) -> DataFrame:
@@ -124,8 +154,8 @@ def stacked(parts: DataFrame, counters: list[str] = COUNTERS) -> DataFrame:
 def axis_ticks(points: DataFrame, bucket: str = "bucket") -> DataFrame:
     """(tick, bucket): ticks at steps from midnight, each with the nearest point, the later of two; one tick per point.
 
-    The step is the one nearest to 5 % of the span, the smaller of two. Ticks and points meet in
-    slots as wide as a day, each tick in its own and the neighbouring ones.
+    The step is the one nearest to 5 % of the span, the smaller of two. Ticks and points are merged in order,
+    day by day, each point in its own day and the neighbouring ones; the last point before a tick and the first after it are compared.
     """
     ends = points.agg(F.min(bucket).alias("first"), F.max(bucket).alias("last")).where(F.col("first").isNotNull())
     span = minutes_between(F.col("first"), F.col("last"))
@@ -136,8 +166,14 @@ def axis_ticks(points: DataFrame, bucket: str = "bucket") -> DataFrame:
     ticks = ends.withColumn("_tick0", day + F.make_dt_interval(mins=skipped)).where(F.col("_tick0") <= F.col("last"))
     ticks = ticks.select(F.explode(F.sequence("_tick0", "last", F.make_dt_interval(mins=F.col("_step")))).alias("tick"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    slot = lambda c: F.floor(micros(c) / 86_400_000_000)
-    wide = ticks.select("tick", F.explode(F.array(slot("tick") - 1, slot("tick"), slot("tick") + 1)).alias("_slot"))
-    near = wide.join(points.select(F.col(bucket).alias("point")).distinct().withColumn("_slot", slot("point")), "_slot")
-    best = near.groupBy("tick").agg(F.min_by("point", F.struct(F.abs(micros("point") - micros("tick")), -micros("point"))).alias("bucket"))
+    slot = F.floor(F.col("at") / 86_400_000_000)
+    marks = ticks.select(micros("tick").alias("at"), "tick", F.lit(None).cast("timestamp_ntz").alias("point")).withColumn("slot", slot)
+    known = points.where(F.col(bucket).isNotNull()).select(wall_clock(F.col(bucket)).alias("point")).distinct().select(micros("point").alias("at"), F.lit(None).cast("timestamp_ntz").alias("tick"), "point")
+    merged = marks.unionByName(known.select("*", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot")))
+    after_points, so_far = F.col("tick").isNotNull(), (Window.unboundedPreceding, 0)
+    earlier = F.last("point", ignorenulls=True).over(Window.partitionBy("slot").orderBy("at", after_points).rowsBetween(*so_far))
+    later = F.last("point", ignorenulls=True).over(Window.partitionBy("slot").orderBy(F.desc("at"), after_points).rowsBetween(*so_far))
+    met = merged.select("tick", "at", earlier.alias("_e"), later.alias("_l")).where(F.col("tick").isNotNull())
+    nearer = F.coalesce(micros("_l") - F.col("at") <= F.col("at") - micros("_e"), F.col("_e").isNull())
+    best = met.select("tick", F.when(nearer, F.col("_l")).otherwise(F.col("_e")).alias("bucket")).where(F.col("bucket").isNotNull())
     return best.groupBy("bucket").agg(F.min("tick").alias("tick")).select("tick", "bucket")

@@ -32,10 +32,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import stored  # noqa: F401  registers the queries over logs on disk, stored ledgers and streams
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import stored  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -355,16 +359,46 @@ def _by_place():
     return Window.orderBy(F.asc_nulls_last("sort_order"), "model_key")  # over one row per model
 
 
-@query(f"""{_PRICED % ('JOIN (SELECT vendor, max(event_ts) AS newest FROM ledger GROUP BY vendor) USING (vendor) WHERE event_ts >= newest - to_hours(168)')},
-recent AS (SELECT ledger.* FROM ledger JOIN (SELECT vendor, max(event_ts) AS newest FROM ledger GROUP BY vendor) USING (vendor) WHERE event_ts >= newest - to_hours(168)),
-g AS (SELECT vendor, model, {_COUNTS}, {_TOTALS} FROM recent GROUP BY vendor, model)
-SELECT g.*, input_cost + output_cost + cache_read_cost + extra_cost AS total_cost, CAST(total_tokens AS DOUBLE) * 100 / sum(total_tokens) OVER () AS percent,
-  coalesce(short_name, substr(model, 1, 12)) AS name, format('{{:,}}', total_tokens) AS total_label
-FROM g JOIN costs USING (vendor, model) LEFT JOIN (SELECT * FROM (VALUES ('Claude', 'm3', 'Large'), ('Claude', 'm1', 'Small'), ('Gemini', 'm2', 'Swift')) AS n(vendor, model, short_name)) USING (vendor, model)
-WHERE messages * 1.0 / (SELECT sum(messages) FROM g) >= 0.01""")
+def _compact(n: str) -> str:
+    """The compact label in SQL: whole numbers, rounded half up to the places that are shown."""
+    return f"CASE WHEN {n} >= 1000000000 THEN {_scaled(n, 1_000_000_000, 'B')} WHEN {n} >= 1000000 THEN {_scaled(n, 1_000_000, 'M')} WHEN {n} >= 1000 THEN {_scaled(n, 1000, 'K')} ELSE CAST({n} AS VARCHAR) END"
+
+
+def _scaled(n: str, unit: int, suffix: str) -> str:
+    one, two = f"({n} * 20 + {unit}) // (2 * {unit})", f"({n} * 200 + {unit}) // (2 * {unit})"
+    return f"CASE WHEN {n} >= {100 * unit} THEN ({n} // {unit}) || '{suffix}' WHEN {n} >= {10 * unit} THEN ({one} // 10) || '.' || ({one} % 10) || '{suffix}' ELSE ({two} // 100) || '.' || lpad(CAST({two} % 100 AS VARCHAR), 2, '0') || '{suffix}' END"
+
+
+def _dollars(v: str) -> str:
+    cents, places = f"CAST(floor(CAST({v} AS DECIMAL(24,9)) * 100 + 0.5) AS BIGINT)", f"CAST(ceil(-log10({v})) AS INTEGER)"
+    return f"CASE WHEN {v} >= 0.01 THEN '$' || ({cents} // 100) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0') WHEN {v} <= 0 THEN '$0.00' ELSE '$0.' || lpad(CAST(CAST(round({v} * pow(10, {places})) AS BIGINT) AS VARCHAR), {places}, '0') END"
+
+
+_NEWEST = "JOIN (SELECT vendor, max(event_ts) AS newest FROM ledger GROUP BY vendor) USING (vendor) WHERE event_ts >= newest - to_hours(168)"
+_NAMED = "(SELECT * FROM (VALUES ('Claude', 'm3', 'Large'), ('Claude', 'm1', 'Small'), ('Gemini', 'm2', 'Swift')) AS n(vendor, model, short_name))"
+
+
+def _report_sql(key: list[str], name: str, where: str = "") -> str:
+    keys, labels = ", ".join(key), f"format('{{:,}}', total_tokens) AS total_label, {_compact('total_with_cache')} AS compact_label, {_dollars('total_cost')} AS cost_label"
+    priced = _PRICED % (_NEWEST + where)
+    for old, new in ((", grouped AS (SELECT vendor, model, extra_kind", f", grouped AS (SELECT {keys}, extra_kind"), ("GROUP BY vendor, model, extra_kind)", f"GROUP BY {keys}, extra_kind)"), ("SELECT vendor, model, CAST(input_tokens", f"SELECT {keys}, CAST(input_tokens")):
+        priced = priced.replace(old, new)
+    return f"""{priced}, recent AS (SELECT ledger.* FROM ledger {_NEWEST}{where}), g AS (SELECT {keys}, {_COUNTS}, {_TOTALS} FROM recent GROUP BY {keys}),
+r AS (SELECT g.*, input_cost + output_cost + cache_read_cost + extra_cost AS total_cost, CAST(total_tokens AS DOUBLE) * 100 / sum(total_tokens) OVER () AS percent
+  FROM g JOIN costs USING ({keys}) WHERE messages * 1.0 / (SELECT sum(messages) FROM g) >= 0.01)
+SELECT r.*, {name} AS name, {labels} FROM r LEFT JOIN {_NAMED} USING (vendor, model)"""
+
+
+@query(_report_sql(["vendor", "model"], "coalesce(short_name, substr(model, 1, 12))"))
 def report(spark, sf_dir):
-    """The usage report with the label columns that SQL can spell too."""
-    return usage_report(ledger(spark, sf_dir), *pricing(spark), _names(spark)).drop("compact_label", "cost_label")
+    """The usage report with its labels."""
+    return usage_report(ledger(spark, sf_dir), *pricing(spark), _names(spark))
+
+
+@query(_report_sql(["vendor", "model", "effort"], "coalesce(short_name, substr(model, 1, 10)) || '(' || upper(substr(effort, 1, 1)) || ')'", " AND vendor = 'Codex'"))
+def report_by_effort(spark, sf_dir):
+    """The usage report of the vendor whose models run at several efforts, which its names show."""
+    return usage_report(ledger(spark, sf_dir), *pricing(spark), _names(spark), vendor="Codex", by_effort=True)
 
 
 @query(f"SELECT {_bucket(120)} AS bucket, CAST(sum({_ALL}) AS BIGINT) AS tokens FROM ledger WHERE {_last(5)} GROUP BY 1")

@@ -2,7 +2,9 @@
 
 Lines are read as text and parsed against explicit schemas. What cannot be parsed is returned by
 ``quarantine``, never dropped silently. Line order matters to the event log and to repeats: files are
-read whole, with lines numbered inside, unless they are large, which Spark splits.
+read whole, with lines numbered inside, unless they are large, which Spark splits; the lines of each
+split are then counted, and what comes before a split is added to the places inside it. Event logs
+are taken in segments of bounded length, each of which starts from what the ones before it carry out.
 """
 
 from __future__ import annotations
@@ -13,14 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timebuckets import parse_timestamp
-from ..operators.normalize import carry_forward, drop_repeats, first_seen, model_key, session_bounds
+from ..operators.normalize import carry_forward, carry_in, drop_repeats, first_seen, model_key, session_bounds
 from .schemas import EVENT_LOG, LEDGER_COLUMNS, SESSION_DOCUMENT, USAGE, USAGE_LOG
 
 NEW_LINE = "\r\n|\n|\r"
 
 
-#: Files up to this size are read whole, one value each; larger ones are split by Spark and their lines put in order after.
-WHOLE_BYTES = 256 << 20
+#: Files up to this size are read whole, one value each; larger ones are split by Spark and their lines numbered after.
+WHOLE_BYTES = 32 << 20
+#: Lines of an event log that one task takes in order.
+SEGMENT = 1 << 17
 #: Where each vendor's tool keeps its logs, and the variable that overrides it.
 ROOTS = {"Claude": ("CLAUDE_CONFIG_DIR", ["~/.config/claude", "~/.claude"]), "Codex": ("CODEX_CONFIG_DIR", ["~/.codex"]), "Gemini": ("GEMINI_CONFIG_DIR", ["~/.gemini"])}
 INSIDE = {"Claude": "projects", "Codex": "sessions", "Gemini": "tmp"}
@@ -64,13 +68,17 @@ def _root_rank(spark: SparkSession, roots: list[str]) -> Column:
     return out
 
 
-def _only(files: DataFrame, listing: DataFrame | None) -> DataFrame:
-    """Rows (with ``source_file`` and ``_modified``) of the listed files; Spark does not open files older than the oldest listed one."""
+def _recent(files: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """Files that are not older than the oldest listed one; Spark does not open others."""
     if listing is None:
         return files
     oldest = listing.agg(F.min("modified")).first()[0]
-    recent = files.where(F.col("_modified") >= F.lit(oldest)) if oldest else files.where(F.lit(False))
-    return recent.join(listing.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+    return files.where(F.col("_metadata.file_modification_time") >= F.lit(oldest)) if oldest else files.where(F.lit(False))
+
+
+def _listed(rows: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """Rows (with ``source_file``) of the listed files."""
+    return rows if listing is None else rows.join(listing.select(F.col("path").alias("source_file")), "source_file", "left_semi")
 
 
 def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", whole: bool | None = None, listing: DataFrame | None = None) -> DataFrame:
@@ -91,14 +99,28 @@ def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl",
 
 
 def _whole_lines(spark: SparkSession, roots: list[str], pattern: str, listing: DataFrame | None, which: Column) -> DataFrame:
-    files = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).where(which).select(*_file(), "value")
-    return _trimmed(_only(files, listing).select("source_file", F.posexplode(F.split("value", NEW_LINE)).alias("ord", "line")), _root_rank(spark, roots))
+    files = _recent(spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).where(which), listing).select(file_path().alias("source_file"), "value")
+    return _trimmed(_listed(files, listing).select("source_file", F.posexplode(F.split("value", NEW_LINE)).alias("ord", "line")), _root_rank(spark, roots))
 
 
 def _split_lines(spark: SparkSession, roots: list[str], pattern: str, listing: DataFrame | None, which: Column) -> DataFrame:
-    files = spark.read.text(roots, recursiveFileLookup=True, pathGlobFilter=pattern).where(which)
-    placed = _only(files.select(*_file(), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")), listing)
-    return _trimmed(placed.withColumn("ord", F.row_number().over(Window.partitionBy("source_file").orderBy("_block", "_id")) - 1), _root_rank(spark, roots))
+    files = _recent(spark.read.text(roots, recursiveFileLookup=True, pathGlobFilter=pattern).where(which), listing)
+    placed = files.select(file_path().alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    return _trimmed(_numbered(_listed(placed, listing)), _root_rank(spark, roots))
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """Lines (source_file, _block, _id) with ``ord``, their place in the file; ids rise inside a split, without a gap.
+
+    One pass counts the lines of each split; the few counts of a file are summed, and the second pass adds the sum to
+    the place in the split. Should Spark split the files otherwise in that pass, the query fails.
+    """
+    splits = placed.groupBy("source_file", "_block").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
+    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.withColumn("_base", F.coalesce(F.sum(F.col("_high") - F.col("_low") + 1).over(earlier), F.lit(0)))
+    met = placed.join(base, ["source_file", "_block"], "left")
+    place = F.when((F.col("_id") >= F.col("_low")) & (F.col("_id") <= F.col("_high")), F.col("_id") - F.col("_low") + F.col("_base"))
+    return met.withColumn("ord", F.coalesce(place, F.raise_error(F.lit("files were split in two ways; run again")).cast("long")).cast("int"))
 
 
 def _trimmed(lines: DataFrame, rank: Column) -> DataFrame:
@@ -157,23 +179,60 @@ def usage_log(lines: DataFrame) -> DataFrame:
     return first_messages(usage_rows(lines))
 
 
-def event_log(lines: DataFrame) -> DataFrame:
-    """Events in file order: model and effort carry forward, repeated counts drop, parts become disjoint. One shuffle by file."""
-    events = _parsed(lines, EVENT_LOG).select("source_file", "root_rank", "ord", "r.*")
-    context = F.col("type") == "turn_context"
-    carried = carry_forward(events, ["source_file"], ["ord"], {"model": F.when(context, F.col("payload.model")), "effort": F.when(context, F.col("payload.effort"))})
+COUNTS = "struct<input_tokens: long, cached_input_tokens: long, output_tokens: long, reasoning_output_tokens: long>"
+EVENT_STATE = f"source_file string, lines long, newest timestamp, model string, effort string, counts {COUNTS}"
+
+
+def _events(lines: DataFrame) -> DataFrame:
+    """(source_file, root_rank, ord, timestamp, model, effort, counts): the events that set model or effort, or count tokens."""
     u = "payload.info.last_token_usage"
-    counts = carried.where((F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & F.col(u).isNotNull()).withColumns({
-        "_in": _counter(f"{u}.input_tokens"), "_cached": _counter(f"{u}.cached_input_tokens"), "_out": _counter(f"{u}.output_tokens"), "_why": _counter(f"{u}.reasoning_output_tokens"),
-    })
-    kept = drop_repeats(counts, ["source_file"], ["ord"], ["_in", "_cached", "_out", "_why"])
+    context, counted = F.col("type") == "turn_context", (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & F.col(u).isNotNull()
+    counters = F.struct(*[_counter(f"{u}.{c}").alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")])
+    # a generator of one row keeps the filters above it from parsing each line once more
+    found = lines.where(_is_object(F.col("line"))).select("source_file", "root_rank", "ord", F.explode(F.array(F.from_json("line", EVENT_LOG))).alias("r"))
+    return found.select("source_file", "root_rank", "ord", "r.*").where(context | counted).select(
+        "source_file", "root_rank", "ord", "timestamp", F.when(context, F.nullif("payload.model", F.lit(""))).alias("model"),
+        F.when(context, F.nullif("payload.effort", F.lit(""))).alias("effort"), F.when(counted, counters).alias("counts"))
+
+
+def _as_events(state: DataFrame) -> DataFrame:
+    """What sessions have carried out so far, as an event before all others."""
+    return state.select("source_file", F.lit(None).cast("int").alias("root_rank"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("timestamp"), "model", "effort", "counts")
+
+
+def event_log(lines: DataFrame, segment: int = SEGMENT, state: DataFrame | None = None) -> DataFrame:
+    """Events in file order: model and effort carry forward, repeated counts drop, parts become disjoint.
+
+    One shuffle, by file and segment of ``segment`` lines, so that a session of any length is many tasks. What segments
+    carry out is aggregated from the same shuffle; a file has few segments, so these small rows meet by file.
+    ``state`` (``event_state``): where sessions of these files stood before the first of the lines.
+    """
+    by = ["source_file", "_segment"]
+    every = _events(lines) if state is None else _events(lines).unionByName(_as_events(state))
+    events = every.withColumn("_segment", F.floor(F.col("ord") / segment))
+    events = events.where(F.col("source_file").isNotNull() & F.col("_segment").isNotNull()).repartition(*by)  # both uses of the events ask for whole keys
+    carried = carry_in(events, ["source_file"], "_segment", ["ord"], ["model", "effort", "counts"])
+    started = events.join(carried, by)  # inner, so that both sides get the same filters and share one shuffle
+    full = carry_forward(started, by, ["ord"], {c: F.coalesce(c, F.when(F.col("ord") == F.col("_first"), F.col(f"_{c}"))) for c in ("model", "effort")})
+    kept = drop_repeats(full.where(F.col("counts").isNotNull()), by, ["ord"], ["counts"], F.col("_counts")).where("ord >= 0")
+    n = "counts."
     return _ledger(kept.select(
         F.lit("Codex").alias("vendor"), F.col("root_rank").cast("string").alias("source_root"), "source_file", "ord", F.col("timestamp").alias("ts_raw"), "model", "effort",
-        (F.col("_in") - F.col("_cached")).alias("input_tokens"), (F.col("_out") - F.col("_why")).alias("output_tokens"),
-        F.col("_cached").alias("cache_read_tokens"), F.col("_why").alias("extra_tokens"), F.lit("reasoning").alias("extra_kind"),
+        (F.col(f"{n}input_tokens") - F.col(f"{n}cached_input_tokens")).alias("input_tokens"), (F.col(f"{n}output_tokens") - F.col(f"{n}reasoning_output_tokens")).alias("output_tokens"),
+        F.col(f"{n}cached_input_tokens").alias("cache_read_tokens"), F.col(f"{n}reasoning_output_tokens").alias("extra_tokens"), F.lit("reasoning").alias("extra_kind"),
     ))
 
 
+def event_state(lines: DataFrame, state: DataFrame) -> DataFrame:
+    """Where sessions stand after the lines: lines read, newest time, and the last model, effort and counts."""
+    every = _events(lines).unionByName(_as_events(state))
+    last = every.groupBy("source_file").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("ord"))).alias(v) for v in ("model", "effort", "counts")], F.max(parse_timestamp(F.col("timestamp"))).alias("_newest"))
+    read = lines.groupBy("source_file").agg((F.max("ord") + 1).cast("long").alias("_lines"))
+    known = state.select("source_file", "lines", "newest")
+    return known.join(read, "source_file", "full").join(last, "source_file", "left").select(
+        "source_file", F.coalesce("_lines", "lines").alias("lines"), F.greatest("newest", "_newest").alias("newest"), "model", "effort", "counts")
+
+
 def event_log_sessions(lines: DataFrame) -> DataFrame:
     """(source_file, session_start, session_end) of event logs."""
     events = _parsed(lines, EVENT_LOG).select("source_file", "ord", "r.*")
@@ -215,12 +274,12 @@ def session_documents(docs: DataFrame) -> DataFrame:
     ))
 
 
-def read_ledger(spark: SparkSession, usage_roots: list[str] = [], event_roots: list[str] = [], document_roots: list[str] = []) -> DataFrame:  # noqa: B006
-    """All three layouts in one shape."""
+def read_ledger(spark: SparkSession, usage_roots: list[str] = [], event_roots: list[str] = [], document_roots: list[str] = [], patterns: tuple[str, str, str] = ("*.jsonl", "*.jsonl", "session-*.json")) -> DataFrame:  # noqa: B006
+    """All three layouts in one shape; ``patterns`` are the names of their files."""
     return (
-        usage_log(read_lines(spark, usage_roots))
-        .unionByName(event_log(read_lines(spark, event_roots)))
-        .unionByName(session_documents(read_documents(spark, document_roots)))
+        usage_log(read_lines(spark, usage_roots, patterns[0]))
+        .unionByName(event_log(read_lines(spark, event_roots, patterns[1])))
+        .unionByName(session_documents(read_documents(spark, document_roots, patterns[2])))
     )
 
 

@@ -1,22 +1,25 @@
 """Structured Streaming: the vendor and model series kept up to date from landed files.
 
 The watermark stands on the bucket column, so late rows within it update their bucket and later
-ones are left to a batch backfill. Windows over file order are not for streams: parse event logs
-per file in batch, and stream their ledger rows.
+ones are left to a batch backfill. Windows over file order are not for streams: event logs are parsed in
+each micro-batch, from where the sessions of earlier ones stood. What streams keep is bounded: a sink
+merges updates into one row for each bucket and key of the last days, and idle sessions are forgotten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timebuckets import bucket_start
 from ..operators.breakdown import COUNTERS
 from ..operators.normalize import whole_key
-from ..operators.timeseries import spread
+from ..operators.timeseries import span_ends, sweep
+from ..sources import logs
+from ..sources.scratch import drop, versions
 
 
 def read_landed(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -38,9 +41,14 @@ def series_stream(ledger: DataFrame, minutes: int, key: str = "vendor", late: st
 
 
 def spread_stream(ledger: DataFrame, minutes: int, key: str = "model_key", late: str = "3 days") -> DataFrame:
-    """Sessions spread evenly over their buckets; needs no state before the sum."""
-    rows = spread(ledger, minutes).withColumn("bucket", F.col("bucket").cast("timestamp")).withWatermark("bucket", late)
-    return rows.groupBy("bucket", key).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    """The ends of sessions (``span_ends``) summed by bucket; ``spread_now`` makes the series of them. No row for each bucket of a span."""
+    ends = span_ends(ledger, minutes, [key]).withColumn("bucket", F.col("bucket").cast("timestamp")).withWatermark("bucket", late)
+    return ends.groupBy("bucket", key, "n", "phase").agg(*[F.sum(c).alias(c) for c in [*COUNTERS, "rows"]])
+
+
+def spread_now(ends: DataFrame, minutes: int, key: str = "model_key") -> DataFrame:
+    """(bucket, key, counters): sessions spread evenly over their buckets, from what ``spread_stream`` has summed."""
+    return sweep(ends.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")), minutes, [key])
 
 
 def keep_current(series: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -64,6 +72,78 @@ def append_updates(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def _state(path: str, spark: SparkSession, schema, before: int | None = None) -> DataFrame:
+    """The newest whole version of a table (older than ``before``), or an empty one."""
+    done = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.schema(schema).parquet(f"{path}/v={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def _keep(df: DataFrame, path: str, version: int) -> None:
+    """Write a version; of the older ones only the last stays, from which this one can be made again."""
+    df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    for old in [v for v in versions(df.sparkSession, path) if v < version][:-1]:
+        drop(df.sparkSession, f"{path}/v={old}")
+
+
+def merge_updates(path: str, key: list[str], keep_days: float | None = None, bucket: str = "bucket") -> Callable[[DataFrame, int], None]:
+    """A sink that holds one row for each current key, of the buckets that begin at most ``keep_days`` before the newest.
+
+    Each batch writes the table anew, which is as large as these days and keys, however long the stream has run. A
+    batch that runs again starts from the version before it.
+    """
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        held = _state(path, rows.sparkSession, rows.schema, batch)
+        values = [c for c in rows.columns if c not in key]
+        both = held.withColumn("_at", F.lit(0)).unionByName(rows.withColumn("_at", F.lit(1)))
+        merged = both.groupBy(*key).agg(F.max_by(F.struct(*values), "_at").alias("v")).select(*key, "v.*").select(*rows.columns)
+        if keep_days is not None:
+            newest = F.greatest(held.agg(F.max(bucket)).scalar(), rows.agg(F.max(bucket)).scalar())
+            merged = merged.where(newest.isNull() | (F.col(bucket) >= F.timestamp_micros(F.unix_micros(newest) - int(keep_days * 86_400_000_000))))
+        _keep(merged, path, batch)
+
+    return sink
+
+
+def current(path: str, spark: SparkSession, schema) -> DataFrame:
+    """What ``merge_updates`` holds now."""
+    return _state(path, spark, schema)
+
+
+def read_landed_logs(spark: SparkSession, path: str, pattern: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
+    """(path, value): whole log files as they land; a file is complete when it lands, a session may go on in a later one."""
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
+    return files.text(path, wholetext=True).select(logs.file_path().alias("path"), "value")
+
+
+def event_log_sink(path: str, session: Callable[[Column], Column], idle_days: float = 30) -> Callable[[DataFrame, int], None]:
+    """A sink for ``read_landed_logs`` that parses event logs across batches: ledger rows in ``rows/batch=n``, where sessions stand in ``state``.
+
+    ``session`` names a file's session by its path; files of a session are in the order of their paths, and later batches
+    follow earlier ones. Lines are numbered on from batch to batch. Sessions whose newest event lies more than ``idle_days`` before
+    the newest of all are forgotten: should one go on after that, it starts without a model. A batch that runs again replaces itself.
+    """
+
+    def sink(files: DataFrame, batch: int) -> None:
+        spark, folder = files.sparkSession, f"{path}/state"
+        state = _state(folder, spark, logs.EVENT_STATE, batch)
+        ended = F.split(F.regexp_replace("value", r"(\r\n|\n|\r)$", ""), logs.NEW_LINE)  # the end of the last line begins no other
+        named = files.select(session(F.col("path")).alias("source_file"), "path", ended.alias("l"))
+        earlier = Window.partitionBy("source_file").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = named.select("source_file", "path", F.size("l").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        sizes = sizes.join(state.select("source_file", "lines"), "source_file", "left").select("path", (F.col("base") + F.coalesce("lines", F.lit(0))).alias("base"))
+        each = named.select("source_file", "path", F.posexplode("l").alias("k", "line")).join(sizes, "path")
+        lines = each.select("source_file", F.lit(0).alias("root_rank"), (F.col("base") + F.col("k")).cast("int").alias("ord"), F.trim("line").alias("line")).where(F.col("line") != "")
+        met = state.join(named.select("source_file").distinct(), "source_file", "left_semi")
+        logs.event_log(lines, state=met).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        after = logs.event_state(lines, state)
+        newest = F.greatest(state.agg(F.max("newest")).scalar(), lines.agg(F.max(logs.parse_timestamp(F.get_json_object("line", "$.timestamp")))).scalar())
+        recent = F.coalesce(F.col("newest") >= F.timestamp_micros(F.unix_micros(newest) - int(idle_days * 86_400_000_000)), F.lit(True))
+        _keep(after.where(recent), folder, batch)
+
+    return sink
+
+
 def watermark_of(query: StreamingQuery) -> str | None:
     """The watermark that a query has reached: buckets up to it take no more rows."""
     return (query.lastProgress or {}).get("eventTime", {}).get("watermark")

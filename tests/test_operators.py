@@ -182,7 +182,9 @@ def test_spread_stream_equals_batch(spark, data, tmp_path):
     rows = rows.select("model_key", F.col("event_ts").cast("timestamp").alias("event_ts"), F.col("event_ts").cast("timestamp").alias("session_start"), F.col("session_end").cast("timestamp").alias("session_end"), *C)
     rows.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = refresh.read_landed(spark, str(tmp_path / "in"), rows.schema.simpleString()[7:-1].replace(":", " "), files_per_batch=1)
-    refresh.keep_current(refresh.spread_stream(stream, 90, late="60 days"), refresh.append_updates(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
-    got = refresh.latest_of(str(tmp_path / "out"), spark, ["bucket", "model_key"], "input_tokens").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "model_key", F.round("input_tokens", 6).alias("n"))
+    ends = refresh.spread_stream(stream, 90, late="60 days")
+    refresh.keep_current(ends, refresh.merge_updates(str(tmp_path / "out"), ["bucket", "model_key", "n", "phase"]), str(tmp_path / "state")).awaitTermination()
+    now = refresh.spread_now(refresh.current(str(tmp_path / "out"), spark, ends.schema), 90)
+    got = now.select("bucket", "model_key", F.round("input_tokens", 6).alias("n"))
     want = timeseries.spread_series(rows, 90, ["model_key"]).select("bucket", "model_key", F.round("input_tokens", 6).alias("n"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -1,0 +1,66 @@
+"""Streams whose output and state stay bounded."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from tallyspark.sources import logs, scratch
+from tallyspark.streaming import refresh
+
+
+def test_merged_updates_stay_bounded(spark, tmp_path):
+    path, shape = str(tmp_path / "out"), "bucket timestamp, vendor string, tokens long"
+    sink = refresh.merge_updates(path, ["bucket", "vendor"], 2)
+    for batch in range(20):
+        rows = [(f"2025-01-{d:02d} 00:00:00", v, 100 * batch + d) for d in range(max(1, batch - 1), batch + 2) for v in "ab"]
+        df = spark.createDataFrame(rows, "bucket string, vendor string, tokens long").withColumn("bucket", F.col("bucket").cast("timestamp"))
+        sink(df, batch)
+        if batch == 7:
+            sink(df, batch)  # a batch that runs again changes nothing
+    held = sorted((r.bucket.day, r.vendor, r.tokens) for r in refresh.current(path, spark, shape).collect())
+    assert held == [(d, v, 1900 + d) for d in (18, 19, 20) for v in "ab"]
+    assert len(scratch.versions(spark, path)) == 2
+    sink(spark.createDataFrame([], shape), 20)
+    assert refresh.current(path, spark, shape).count() == 6
+
+
+def count(stamp, n):
+    usage = {"input_tokens": n, "cached_input_tokens": 0, "output_tokens": n, "reasoning_output_tokens": 0}
+    return json.dumps({"type": "event_msg", "timestamp": stamp, "payload": {"type": "token_count", "info": {"last_token_usage": usage}}})
+
+
+def context(stamp, **payload):
+    return json.dumps({"type": "turn_context", "timestamp": stamp, "payload": payload})
+
+
+def test_sessions_go_on_across_batches_and_idle_ones_are_forgotten(spark, tmp_path):
+    days = [f"2025-01-{d:02d}T00:00:00Z" for d in range(1, 29)]
+    sink = refresh.event_log_sink(str(tmp_path / "out"), lambda p: F.regexp_extract(p, "([a-z]+)-[0-9]+$", 1), 10)
+
+    def land(batch, **files):
+        rows = [(f"/in/{k.replace('_', '-')}", v) for k, v in files.items()]
+        sink(spark.createDataFrame(rows, "path string, value string"), batch)
+
+    land(0, s_1="\n".join([context(days[0], model="x"), count(days[0], 1)]) + "\n", s_2=count(days[1], 1) + "\n" + count(days[1], 2) + "\n", old_1=context(days[0], model="o") + "\n")
+    land(1, s_3="\n".join([count(days[2], 2), "{broken", count(days[2], 3), context(days[2], effort="high"), count(days[2], 3)]), other_1=count(days[3], 5))
+    land(1, s_3="\n".join([count(days[2], 2), "{broken", count(days[2], 3), context(days[2], effort="high"), count(days[2], 3)]), other_1=count(days[3], 5))
+    land(2, s_4=count(days[20], 3) + "\n" + count(days[20], 4), old_2=count(days[20], 1))
+    rows = spark.read.parquet(str(tmp_path / "out/rows")).orderBy("source_file", "ord").collect()
+    assert [(r.source_file, r.ord, r.model_key, r.input_tokens) for r in rows] == [
+        ("old", 1, "o (unknown)", 1), ("other", 0, "unknown (unknown)", 5), ("s", 1, "x (unknown)", 1), ("s", 3, "x (unknown)", 2), ("s", 6, "x (unknown)", 3), ("s", 10, "x (high)", 4)]
+    state = refresh._state(str(tmp_path / "out/state"), spark, logs.EVENT_STATE)
+    assert {r.source_file: r.lines for r in state.collect()} == {"s": 11, "old": 2}
+
+
+def test_keys_beyond_the_watermark_are_forgotten(spark, tmp_path):
+    """A key that repeats within the watermark is dropped, one that repeats after it passes again."""
+    shape = "message_id string, request_id string, event_ts timestamp"
+    steps = [[("a", "1"), ("b", "2")], [("a", "2")], [("z", "20")], [("b", "21"), ("z", "21")]]
+    for k, step in enumerate(steps):
+        df = spark.createDataFrame([(i, "r", f"2025-01-{int(d):02d} 00:00:00") for i, d in step], "message_id string, request_id string, event_ts string")
+        df.withColumn("event_ts", F.col("event_ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = refresh.read_landed(spark, str(tmp_path / "in"), shape)
+        kept = refresh.first_seen_stream(stream, ["message_id", "request_id"], "event_ts", "5 days")
+        refresh.keep_current(kept, refresh.append_updates(str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("message_id").count().collect()
+    assert {r.message_id: r["count"] for r in rows} == {"a": 1, "b": 2, "z": 1}
