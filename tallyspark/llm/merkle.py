@@ -125,7 +125,7 @@ def manifest(docs: DataFrame, columns: list[str] = COLUMNS, tampered: Column | N
     leaves = docs.select(
         ident.alias("doc_id"), F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source.cast("string"))).alias("tree"),
         leaf([F.col(f"`{c}`") for c in columns]).alias("leaf"), F.when(F.coalesce(tampered, F.lit(False)), changed).alias("other") if tampered is not None else F.lit(None).cast("binary").alias("other"))
-    leaves = numbered(leaves, ["tree"], ["doc_id", "leaf"])
+    leaves = numbered(_stored(leaves, f"{own}/leaves"), ["tree"], ["doc_id", "leaf"])  # stored, as the range partitioning reads its input twice
 
     runs = leaves.groupBy("tree", F.floor(F.col("idx") / FAN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("idx", "doc_id", "leaf", "other"))).alias("leaves"))
     runs = _stored(runs.select("tree", "run", F.transform("leaves", lambda s: F.struct(s["doc_id"], s["leaf"], s["other"])).alias("leaves")), f"{own}/runs")
