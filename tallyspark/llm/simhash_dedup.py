@@ -26,9 +26,9 @@ of components are cut off in the shared folder before they are joined, so that e
 shuffle of its own on either side and Spark can split a hot cell, centre or component.
 
 *Components.* Links are dealt into partitions of about ``PER_TASK``; each is contracted to a spanning
-forest by union-find in its task. Where that is more than one partition, alternating large-star and
-small-star rounds follow, which move only ids and end when nothing changes; each round is cut off in
-the shared checkpoint folder.
+forest by union-find in its task. Alternating large-star and small-star rounds follow until the links
+are proven to be stars, each node once under a root that is under none; they move only ids, and none is
+needed where one task has seen all links. Each round is cut off in the shared checkpoint folder.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and is linked
 like any other; a text of any length is read whole, its shingles ``CHUNK`` at a time; fewer words than a shingle make one shingle; rows with a null id get a fingerprint
@@ -223,6 +223,13 @@ def _contracted(pairs: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(forest, "a long, b long")
 
 
+def finished(pairs: DataFrame) -> bool:
+    """Whether the links (a, b) are stars: every node a stands once, and none is a root b too. Then each star is a whole component."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(pairs.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return seen.where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0))).isEmpty()
+
+
 def components(links: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for every node of a link but the roots."""
 
@@ -237,13 +244,9 @@ def components(links: DataFrame, per_task: int = PER_TASK) -> DataFrame:
 
     pairs = durable(links.select("a", "b").where(F.col("a") != F.col("b")))
     parts = max(1, -(-pairs.count() // per_task))
-    pairs, state = durable(_contracted(pairs, parts)), None
-    while parts > 1:
+    pairs = durable(_contracted(pairs, parts))
+    while not finished(pairs):
         pairs = durable(star(durable(star(pairs, True)), False))
-        now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == state:
-            break
-        state = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
