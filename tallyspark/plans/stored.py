@@ -57,14 +57,15 @@ def _land(spark: SparkSession, lines: DataFrame, target: str) -> None:
         scratch.move(spark, part, f"{target}/log-{part.split('/log=')[1].split('/')[0]}.jsonl")
 
 
-def _grown(spark: SparkSession, sf_dir: str, steps: int = 3) -> tuple[Store, int]:
-    """A store refreshed after each of several steps, in which logs of message lines grow; and how many rows were parsed."""
+def _grown(spark: SparkSession, sf_dir: str, steps: int, fold: bool = False) -> tuple[Store, int]:
+    """A store refreshed after each of several steps, in which logs of message lines grow (and its rollups); and how many rows were parsed."""
     lines, root = _dealt(usage_lines(ledger(spark, sf_dir))), scratch.shared_folder(spark, "grown")
     store, parsed, last = Store(spark, scratch.shared_folder(spark, "store")), 0, lines.agg(F.max("ord")).scalar()
     for k in range(1, steps + 1):
         _land(spark, lines.where(F.col("ord") * steps <= last * k), f"{root}/projects")
         days, n = store.refresh("usage", [f"{root}/projects"], "*.jsonl", logs.usage_rows)
-        store.fold(days)
+        if fold:
+            store.fold(days)
         parsed += n
     return store, parsed
 
@@ -76,7 +77,7 @@ first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY
 @query(f"{_KEPT} SELECT strftime(event_ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS messages, {_sums()}, (SELECT count(*) FROM kept) AS parsed FROM first GROUP BY 1")
 def grown_logs(spark, sf_dir):
     """Logs grow twice and each line is parsed once; messages repeat across logs and steps; the stored ledger by day."""
-    store, parsed = _grown(spark, sf_dir)
+    store, parsed = _grown(spark, sf_dir, 3)
     days = store.rows().groupBy(F.date_format("event_ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("messages"), *breakdown.summed())
     return days.withColumn("parsed", F.lit(parsed).cast("long"))
 
@@ -89,7 +90,7 @@ SELECT 'minutes' AS kind, {_bucket(7)} AS bucket, model AS model_key, {_ROLLED}
 UNION ALL SELECT 'days', {_bucket(1440)}, model, {_ROLLED} FROM first GROUP BY ALL UNION ALL SELECT 'auto', {_bucket(120)}, model, {_ROLLED} FROM recent GROUP BY ALL""")
 def rollup_series(spark, sf_dir):
     """Series of several steps from the sums by minute, hour and day that two refreshes have kept; the last one of five days at an automatic step."""
-    store, _ = _grown(spark, sf_dir, 2)
+    store, _ = _grown(spark, sf_dir, 2, True)
     kinds = {"minutes": store.series(7, "model_key"), "hours": store.series(60, "model_key"), "days": store.series(1440, "model_key"), "auto": store.series(auto_interval(5, 100), "model_key", 5)}
     out = None
     for kind, series in kinds.items():
