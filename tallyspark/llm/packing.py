@@ -9,9 +9,9 @@ shards of about ``SHARD`` pieces; the number of shards follows the count, at eve
 
 *Islands.* Each shard is bred on ``ISLANDS`` islands, in parallel tasks. An island starts from
 best-fit-decreasing and perturbed variants. Crossover injects whole well-filled bins of one parent
-into the other, dissolves the bins that hold a document twice, and best-fits the displaced
-documents; mutation dissolves a few of the emptier bins. After each epoch an island's best
-packing migrates to the next island. An island stops early at the lower bound.
+into the other, dissolves the bins that hold a document twice, lets displaced documents take the place of one or two
+that fill a bin worse, and best-fits the rest; mutation dissolves a few bins. After each epoch an island's best
+packing migrates to the next island. An epoch ends when ``PATIENCE`` generations have brought nothing better, and at once at the lower bound.
 
 *Second round.* Bins with notable slack are pooled over shards, dealt anew by whole bins, and bred
 again starting from what they are, so that it can only improve.
@@ -42,7 +42,10 @@ from .common import durable
 
 CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, EPOCHS = 4096, 2, 2
-POPULATION, GENERATIONS, CHILDREN = 4, 6, 2
+#: An epoch ends after ``PATIENCE`` generations without a better packing, ``GENERATIONS`` at most.
+POPULATION, GENERATIONS, PATIENCE, CHILDREN = 8, 120, 12, 4
+#: Items of a bin whose pairs may make way.
+MEMBERS = 12
 #: Slack, in tokens, from which a bin takes part in the second round.
 NOTABLE = 24
 #: Most words, and most parts of words, that a worker remembers; beyond, it starts afresh. It changes speed only.
@@ -158,9 +161,50 @@ def fitness(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int,
     return -len(load), float(((load / capacity) ** 2).sum())
 
 
+def _exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> None:
+    """One item or two of a bin make way for one displaced item or two that fill it better; what they leave is displaced instead, and smaller."""
+    out = sorted((int(lengths[i]), int(i)) for i in np.flatnonzero(bins < 0))
+    placed = np.flatnonzero(bins >= 0)
+    order = placed[np.argsort(bins[placed], kind="stable")]
+    edges = np.flatnonzero(np.diff(bins[order])) + 1
+    for members in np.split(order, edges):
+        size = lengths[members].tolist()
+        gap = capacity - sum(size)
+        if not gap or not out:
+            continue
+        gain, give, take = 0, (), ()
+        leave = [((k,), n) for k, n in enumerate(size)] + [((j, k), size[j] + size[k]) for k in range(min(len(size), MEMBERS)) for j in range(k)]
+        for gone, n in leave:
+            k = bisect_left(out, (n + gap + 1, -1)) - 1  # the longest that fits alone
+            if k >= 0 and out[k][0] - n > gain:
+                gain, give, take = out[k][0] - n, gone, (k,)
+            if len(gone) == 2 and gain < gap:
+                low, high = 0, len(out) - 1
+                while low < high:  # the best pair that fits
+                    both = out[low][0] + out[high][0] - n
+                    if both > gap:
+                        high -= 1
+                        continue
+                    if both > gain:
+                        gain, give, take = both, gone, (low, high)
+                    low += 1
+            if gain == gap:
+                break
+        if gain:
+            b = bins[members[0]]
+            into = [out[k] for k in take]
+            for x in into:
+                out.remove(x)
+                bins[x[1]] = b
+            for k in give:
+                bins[members[k]] = -1
+                insort(out, (size[k], int(members[k])))
+
+
 def _refill(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     _, placed = np.unique(bins[bins >= 0], return_inverse=True)
     bins[bins >= 0] = placed
+    _exchange(lengths, bins, capacity)
     best_fit(lengths.tolist(), bins, np.flatnonzero(bins < 0).tolist(), _room(lengths, bins, capacity), capacity)
     return bins
 
@@ -169,7 +213,7 @@ def crossover(lengths: np.ndarray, one: np.ndarray, other: np.ndarray, capacity:
     """Whole well-filled bins of ``other`` go into ``one``; its bins that then hold an item twice are dissolved."""
     load = np.bincount(other, weights=lengths)
     full = np.argsort(-load, kind="stable")[: max(1, len(load) // 2)]
-    injected = rng.choice(full, max(1, len(full) // 4), replace=False)
+    injected = rng.choice(full, int(rng.integers(1, max(2, len(full) // 4 + 1))), replace=False)
     inside = np.isin(other, injected)
     child = one.copy()
     child[np.isin(one, np.unique(one[inside]))] = -1
@@ -178,11 +222,12 @@ def crossover(lengths: np.ndarray, one: np.ndarray, other: np.ndarray, capacity:
 
 
 def mutate(lengths: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Dissolve some of the emptier bins."""
+    """Dissolve a few bins, half of them among the emptier ones."""
     load = np.bincount(bins, weights=lengths)
     used = np.flatnonzero(load > 0)
     emptier = used[np.argsort(load[used], kind="stable")][: max(2, len(used) // 8)]
-    chosen = rng.choice(emptier, max(1, len(emptier) // 2), replace=False)
+    few = max(1, min(len(emptier) // 2, int(rng.integers(2, 12))))
+    chosen = np.concatenate((rng.choice(emptier, few, replace=False), rng.choice(used, min(few, len(used)), replace=False)))
     child = bins.copy()
     child[np.isin(bins, chosen)] = -1
     return _refill(lengths, child, capacity)
@@ -193,7 +238,7 @@ def breed(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng:
     n, bound = len(lengths), -(-int(lengths.sum()) // capacity)
     listed = lengths.tolist()
     population = list(population)
-    while len(population) < POPULATION:
+    while len(population) < POPULATION and not any(-fitness(lengths, b, capacity)[0] <= bound for b in population[-1:]):
         order = np.arange(n)
         if any(True for _ in population):  # all but the first start from a perturbed order
             order = np.argsort(-lengths * rng.uniform(0.9, 1.1, n), kind="stable")
@@ -201,16 +246,18 @@ def breed(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng:
         best_fit(listed, bins, order.tolist(), [], capacity)
         population.append(bins)
     ranked = sorted(((fitness(lengths, b, capacity), k, b) for k, b in enumerate(population)), reverse=True)
-    serial = len(ranked)
+    serial, waited = len(ranked), 0
     for _ in range(generations):
-        if -ranked[0][0][0] <= bound:
+        if -ranked[0][0][0] <= bound or waited >= PATIENCE:
             break
+        leader = ranked[0][0]
         for _ in range(CHILDREN):
             a, b = rng.choice(len(ranked), 2, replace=False)
             child = mutate(lengths, crossover(lengths, ranked[a][2], ranked[b][2], capacity, rng), capacity, rng)
             serial += 1
             ranked.append((fitness(lengths, child, capacity), -serial, child))
         ranked = sorted(ranked, key=lambda x: (x[0], x[1]), reverse=True)[:POPULATION]
+        waited = 0 if ranked[0][0] > leader else waited + 1
     return [b for _, _, b in ranked]
 
 
