@@ -4,7 +4,7 @@
 is more, chosen by a hash): a graph links each sampled vector to its nearest; recursive bisection
 along the graph's second eigenvector, refined by swaps, cuts it into balanced partitions; a small
 softmax classifier learns from a vector how its neighbours are spread over the partitions. Their
-number is the power of two nearest to sqrt(rows) / 16, two at least, at every size by the same rule.
+number is the power of two nearest to sqrt(rows) / 2, 16 at least, at every size by the same rule.
 
 *Index*: every vector goes to its most probable partition. *Search*: a query goes to its most
 probable partitions and is reranked there exactly. How many is measured, not guessed: ``ASKED`` of
@@ -154,8 +154,8 @@ class Router:
 
 
 def partitions(rows: int) -> int:
-    """The power of two nearest to sqrt(rows) / 16, two at least."""
-    return 1 << max(1, round(np.log2(max(rows, 1)) / 2 - 4))
+    """The power of two nearest to sqrt(rows) / 2, 16 at least."""
+    return 1 << max(4, round(np.log2(max(rows, 1)) / 2 - 1))
 
 
 def fit(sample: np.ndarray, parts: int) -> Router:
