@@ -109,8 +109,8 @@ WITH pages1 AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
     || regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/index\.html?$', ''), '/$', '') AS place,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)='))), '&') AS query
-  FROM captures WHERE url IS NOT NULL
-), named AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM cut
+  FROM captures WHERE url IS NOT NULL AND url <> ''
+), named AS (SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]') THEN place || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE url END AS canonical_url FROM cut
 ), joined AS (
   SELECT v.record_id, v.canonical_url, v.tag, v.changed, v.dated, v.expires, r.record_id AS refers_to, r.tag AS old_tag, r.changed AS old_changed, r.n, r.digest AS old_digest,
     row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.record_id DESC) AS k

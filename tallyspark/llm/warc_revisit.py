@@ -11,7 +11,8 @@ what earlier slices end with is carried over in a table with one row per URL and
 minute: a URL with a third of all captures is spread over its minutes, its carried rows are no more
 than the minutes of the crawl, a task holds what one URL got in one of them, and bodies never move.
 
-Defined cases: a capture without URL, time or id is left out; header names are compared in lower
+Defined cases: a capture without URL (null or empty), time or id is left out; a URL without a scheme and host
+names itself only, letter by letter, and what a canonical form of another spells the same; header names are compared in lower
 case and later duplicates of a name win; null headers are none; repeated captures are resolved
 each; an empty table gives an empty table; extra columns are ignored.
 """
@@ -28,12 +29,16 @@ TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid)="
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www, m or default port; path without index file and last slash; sorted untracked parameters."""
+    """Host in lower case without www, m or default port; path without index file and last slash; sorted untracked parameters.
+
+    What has no scheme and host, such as ``dns:`` records, relative and broken URLs, is kept as it is.
+    """
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1)), r"^(www|m)\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), r"/index\.html?$", ""), r"/$", "")
     params = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.rlike(p, F.lit(TRACKING)))
     query = F.array_join(F.array_sort(params), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    whole = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(F.rlike(url, F.lit(r"^[A-Za-z]+://[^/?#]")), whole).otherwise(url)
 
 
 def _entries(headers: Column) -> Column:
@@ -66,7 +71,7 @@ def resolve_revisits(captures: DataFrame, slice_seconds: int = 60) -> DataFrame:
     'resolved', 'mismatch', 'no validator' or 'no earlier response'; without an earlier response
     refers_to, headers and digest are null, and unless resolved so are headers and digest.
     """
-    rows = captures.where(F.col("url").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()).select(
+    rows = captures.where(F.col("url").isNotNull() & (F.col("url") != "") & F.col("ts").isNotNull() & F.col("record_id").isNotNull()).select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", _entries(F.col("headers")).alias("h"), "digest"
     ).withColumn("_slice", F.floor(F.col("ts") / slice_seconds))
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "h", "digest"))
