@@ -1,6 +1,7 @@
 """Chat formatting, line dedup and byte-level BPE against brute force."""
 
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -101,3 +102,15 @@ def test_every_token_of_the_vocabulary():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoder = byte_bpe.PreTokenEncoder(byte_bpe.sentencepiece_model(ranks), public_tokenizers.PATTERN)
     assert encoder.tokens == sorted(ranks, key=ranks.get)
+
+
+def test_a_word_without_end_comes_back_whole(spark):
+    """One pre-token of a million letters, encoded in bounded time, decodes to its bytes; so does a line of them in line dedup."""
+    words = ["a" * 1_000_000, "\u00e9" * 1_000_000]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    start = time.monotonic()
+    rows = byte_bpe.encode_bpe(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert time.monotonic() - start < 60
+    assert {r.doc_id: bytes(r.decoded) for r in rows} == {i: w.encode() for i, w in enumerate(words)}
+    lines = df.union(df.select(F.col("doc_id") + 2, F.concat("text", F.lit("\nown"))))
+    assert {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(lines).collect()} == {0: words[0], 1: words[1], 2: "own", 3: "own"}
