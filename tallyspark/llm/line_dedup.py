@@ -20,12 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, LOWER, UPPER, durable, wide_hash
+from .common import ASCII_SPACE, LOWER, UPPER, durable, slices, wide_hash
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -48,15 +48,17 @@ def repeated_keys(lines: DataFrame, min_docs: int = 2) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The texts without the lines at these positions; null where no text is given."""
+
+    def kept(text: str | None, drop: list[int] | None) -> str | None:
+        gone = set(drop or ())
+        return text and "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
     for texts, drops in parts:
-        rows = []
-        for text, drop in zip(texts, drops, strict=True):
-            gone = set() if drop is None else set(drop.tolist())
-            rows.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-        yield pd.Series(rows, dtype=object)
+        for batch in slices([pa.RecordBatch.from_arrays([texts, drops], ["text", "drop"])]):
+            yield pa.array(map(kept, batch["text"].to_pylist(), batch["drop"].to_pylist()), pa.string())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
