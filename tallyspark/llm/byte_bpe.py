@@ -139,7 +139,8 @@ class PreTokenEncoder(dict):
 
 def bpe_functions(spark: SparkSession, path: str, pattern: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """(encode, decode) as column functions: string -> array<int>, array<int> -> binary."""
-    model = spark.sparkContext.broadcast(sentencepiece_model(read_ranks(path)))
+    ranks = read_ranks(path)
+    model, pieces = spark.sparkContext.broadcast(sentencepiece_model(ranks)), spark.sparkContext.broadcast({i: t for t, i in ranks.items()})
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -153,7 +154,7 @@ def bpe_functions(spark: SparkSession, path: str, pattern: str) -> tuple[Callabl
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = dict(enumerate(PreTokenEncoder(model.value, pattern).tokens))
+        tokens = pieces.value
 
         def of(ids: pa.Array | None) -> bytes:
             if ids is None:
