@@ -5,7 +5,7 @@ again as the next one's ``docs``; all but the last return the columns of ``docum
 stage is one of the operators of ``tallyspark.llm`` and its decision takes effect: documents that
 the quality classifier rejects go, repeated lines go, one document of each near-duplicate group
 stays, and the last stage returns what packing makes of the rest. The near-duplicate stage links
-texts of 0.8 or more over five words, which a SimHash grid cannot find (see ``jaccard_dedup``).
+texts of 0.8 or more over five words: op1's grid join, at a radius that covers 0.8, and the exact sets (see ``jaccard_dedup``).
 
 Defined cases: a null or empty text is scored, has no lines to lose, is a copy of other texts
 without words, and is packed as the end id alone. Rows that repeat a ``doc_id`` are one document

@@ -338,6 +338,68 @@ def test_near_dedup_stage_keeps_to_jaccard(spark, data):
     assert jaccard_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_goes_through_the_grid_join(spark, data, monkeypatch):
+    """The stage's candidates are those of the fingerprints' cells: without these, edited copies stay."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words[:150], "edited", *words[151:]]), "something else entirely that nobody edits"]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, data).collect()} == {0, 2}
+    found = jaccard_dedup._candidates
+    monkeypatch.setattr(jaccard_dedup, "_candidates", lambda items: found(items).limit(0))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, data).collect()} == {0, 1, 2}
+
+
+def test_grids_find_pairs_at_the_least_similarity():
+    """Pairs at exactly 0.8 share a cell and are within the radius, at all sizes of the table; unrelated ones are not."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(600):
+        h = rng.integers(0, 1 << 64, 250, np.uint64)
+        pairs.append((jaccard_dedup.fingerprint(h[:225]), jaccard_dedup.fingerprint(np.concatenate((h[:200], h[225:])))))
+    a, b = (np.stack(x) for x in zip(*pairs))
+    shown = slice(0, jaccard_dedup.SHOWN)
+    near = np.bitwise_count(a[:, shown] ^ b[:, shown]).sum(axis=1) <= jaccard_dedup.RADIUS
+    far = np.bitwise_count(a[:-1, shown] ^ a[1:, shown]).sum(axis=1) <= jaccard_dedup.RADIUS
+    apart = jaccard_dedup._unary(a) ^ jaccard_dedup._unary(b)
+    assert near.mean() > 0.998 and not far.any() and (np.bitwise_count(apart) <= np.bitwise_count(a ^ b)).all()
+    for n in (10, 2000, 220_000):
+        met = (apart[:, None, :] & jaccard_dedup.grids(n, 4096) == 0).all(axis=2).any(axis=1)
+        assert met.mean() > 0.998
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_an_item_returns_nearest_pairs_and_a_forest(split, monkeypatch):
+    """As brute force over all pairs, also where what is held is contracted on the way."""
+    monkeypatch.setattr(jaccard_dedup, "HELD", 50)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 64, (20, jaccard_dedup.SHOWN), np.uint64)
+    prints = base[rng.integers(0, 20, 300)]
+    for _ in range(20):
+        prints[np.arange(300), rng.integers(0, jaccard_dedup.SHOWN, 300)] ^= np.uint64(1) << rng.integers(0, 64, 300, np.uint64)
+    sides = np.sort(rng.integers(0, 2, 300)) if split else np.zeros(300, int)
+    differ = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    met = (differ <= jaccard_dedup.RADIUS) & ~np.eye(300, dtype=bool) & ((sides[:, None] != sides[None]) | (not split))
+    a, b, near = jaccard_dedup.close(prints, sides)
+    assert met[a[near], b[near]].all() and set(a[near].tolist()) == set(np.flatnonzero(met.any(axis=1)).tolist())
+    assert (differ[a[near], b[near]] == np.where(met, differ, 999).min(axis=1)[a[near]]).all()
+    i, j = np.nonzero(met)
+    assert (jaccard_dedup._roots(a, b, 300) == jaccard_dedup._roots(i, j, 300)).all() and len(a) < 600 < len(i)
+
+
+def test_a_hot_cell_compares_no_pairs_inside_its_largest_component(spark):
+    """Each member meets the strays once; what is dealt is in proportion to the group, not to its pairs."""
+    columns = ", ".join(f"id as {c}" for c in jaccard_dedup._F[: jaccard_dedup.SHOWN])
+    members = spark.range(2003).selectExpr("7L as cell", "id as key", columns.split(", ")[0], *columns.split(", ")[1:])
+    root = spark.range(1, 2000).selectExpr("id as node", "0L as root")
+    rows = jaccard_dedup._hot_items(members, root, 50).collect()
+    met = {}
+    for r in rows:
+        met.setdefault(r[:3], []).append(r)
+    assert len(met) == 41 and len(rows) == 3 * 41 + 2000
+    pairs = [(a.key, b.key) for (_, i, j), item in met.items() for a in item for b in item if a._side == 0 and (b._side == 1 or i == j and a.key < b.key)]
+    assert len(pairs) == len(set(pairs)) and {frozenset(p) for p in pairs} == {frozenset((s, o)) for s in range(2000, 2003) for o in range(2003) if o != s}
+
+
 def test_strays_in_a_large_group_cost_no_pairs_inside_it(spark):
     """What the largest component of a shingle holds is dealt once for each block of strays; every pair with a stray meets once."""
     members = spark.range(2003).selectExpr("explode(array(7L, 8L)) as shingle", "id as key", "if(id < 2000, 5L, id) as root")
