@@ -43,10 +43,10 @@ def _own(docs: DataFrame) -> list[Column]:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier scores at least ``LEAST_SCORE``; texts do not move."""
-    stats, score = _fresh("stats"), _fresh("score")
+    score = _fresh("score")
     train = quality.with_statistics(quality.labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
     model = quality.fit(durable(train.select("stats", "y")))
-    scored = quality.apply(quality.with_statistics(docs, name=stats), model, stats, score)
+    scored = quality.score_texts(docs, model, name=score)
     return scored.where(F.col(score) >= LEAST_SCORE).select(*_own(docs))
 
 

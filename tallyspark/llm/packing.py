@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
-from .common import durable
+from .common import durable, give_back
 
 CAPACITY, END_ID = 4096, 1
 SHARD, ISLANDS, EPOCHS = 4096, 2, 2
@@ -128,6 +128,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["piece", "start", "length", "ids_crc32"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        del encoder
+        give_back()
 
     return docs.select(id_col, F.explode(cut(F.coalesce(F.col(text_col), F.lit(""))))).select(id_col, "col.*")
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, give_back, slices
 
 STATS = [
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "non_ascii", "symbol", "stop", "bang", "bar",
@@ -174,6 +174,19 @@ def apply(stats: DataFrame, model: Model, stats_col: str = "stats", name: str =
     return stats.withColumn(name, of(stats_col))
 
 
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score of each text, from one worker a task: the statistics do not leave it."""
+
+    @F.arrow_udf(T.DoubleType())
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [model.score(np.array([statistics(t.as_py() or "") for t in few], np.float64).reshape(-1, len(STATS))) for few in slices([texts], 1024)]
+            yield pa.array(np.concatenate([*found, np.zeros(0)]))
+        give_back()
+
+    return docs.withColumn(name, of(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents whose labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

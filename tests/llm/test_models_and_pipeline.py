@@ -275,6 +275,17 @@ def test_pipeline(spark, data):
     assert {r.doc_id for r in packed} == set(single)
 
 
+def test_quality_stage_takes_one_worker_a_task(spark, data):
+    """Each worker more stays in memory through all later stages; scores are those of the operator."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(50)
+    plan = corpus_pipeline.keep_good(spark, docs, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+    train = quality.with_statistics(quality.labelled(docs.select("doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet")))
+    model = quality.fit(train.select("stats", "y"))
+    rows = quality.score_texts(quality.apply(quality.with_statistics(docs), model), model, name="other").select("score", "other").collect()
+    assert rows and max(abs(r.score - r.other) for r in rows) < 1e-9
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, stats int, n_lines string, n_dropped string, kept_text string, component_id int, key string, `a.b` int, m map<string,int>, mm array<map<string,int>>"
 
 
