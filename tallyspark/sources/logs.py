@@ -48,9 +48,9 @@ def existing(spark: SparkSession, roots: list[str]) -> list[str]:
     return [r for r in roots if path(r).getFileSystem(conf).exists(path(r))]
 
 
-def file_path() -> Column:
+def file_path(given: str = "_metadata.file_path") -> Column:
     """The path of the file that a row was read from, as the file system spells it."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.col(given), F.lit("+"), F.lit("%2B")))
 
 
 def _file() -> list[Column]:
@@ -115,10 +115,23 @@ def _numbered(placed: DataFrame) -> DataFrame:
     One pass counts the lines of each split; the few counts of a file are summed, and the second pass adds the sum to
     the place in the split. Should Spark split the files otherwise in that pass, the query fails.
     """
-    splits = placed.groupBy("source_file", "_block").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"))
-    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = splits.withColumn("_base", F.coalesce(F.sum(F.col("_high") - F.col("_low") + 1).over(earlier), F.lit(0)))
-    met = placed.join(base, ["source_file", "_block"], "left")
+    splits = split_ends(placed, ["source_file", "_block"])
+    return placed_lines(placed, with_base(splits, ["source_file"], ["_block"]), ["source_file", "_block"])
+
+
+def split_ends(placed: DataFrame, split: list[str], *more: Column) -> DataFrame:
+    """(split, _low, _high, more): the first and last id of each split."""
+    return placed.groupBy(*split).agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), *more)
+
+
+def with_base(splits: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Splits with ``_base``, how many lines come before them in ``by``."""
+    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("_base", F.coalesce(F.sum(F.col("_high") - F.col("_low") + 1).over(earlier), F.lit(0)))
+
+
+def placed_lines(placed: DataFrame, base: DataFrame, split: list[str]) -> DataFrame:
+    met = placed.join(base, split, "left")
     place = F.when((F.col("_id") >= F.col("_low")) & (F.col("_id") <= F.col("_high")), F.col("_id") - F.col("_low") + F.col("_base"))
     return met.withColumn("ord", F.coalesce(place, F.raise_error(F.lit("files were split in two ways; run again")).cast("long")).cast("int"))
 
@@ -183,7 +196,7 @@ COUNTS = "struct<input_tokens: long, cached_input_tokens: long, output_tokens: l
 EVENT_STATE = f"source_file string, lines long, newest timestamp, model string, effort string, counts {COUNTS}"
 
 
-def _events(lines: DataFrame) -> DataFrame:
+def events(lines: DataFrame) -> DataFrame:
     """(source_file, root_rank, ord, timestamp, model, effort, counts): the events that set model or effort, or count tokens."""
     u = "payload.info.last_token_usage"
     context, counted = F.col("type") == "turn_context", (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & F.col(u).isNotNull()
@@ -207,12 +220,16 @@ def event_log(lines: DataFrame, segment: int = SEGMENT, state: DataFrame | None
     carry out is aggregated from the same shuffle; a file has few segments, so these small rows meet by file.
     ``state`` (``event_state``): where sessions of these files stood before the first of the lines.
     """
+    return event_rows(events(lines), segment, state)
+
+
+def event_rows(found: DataFrame, segment: int = SEGMENT, state: DataFrame | None = None) -> DataFrame:
+    """``event_log`` of what ``events`` has found."""
     by = ["source_file", "_segment"]
-    every = _events(lines) if state is None else _events(lines).unionByName(_as_events(state))
-    events = every.withColumn("_segment", F.floor(F.col("ord") / segment))
-    events = events.where(F.col("source_file").isNotNull() & F.col("_segment").isNotNull()).repartition(*by)  # both uses of the events ask for whole keys
-    carried = carry_in(events, ["source_file"], "_segment", ["ord"], ["model", "effort", "counts"])
-    started = events.join(carried, by)  # inner, so that both sides get the same filters and share one shuffle
+    every = (found if state is None else found.unionByName(_as_events(state))).withColumn("_segment", F.floor(F.col("ord") / segment))
+    dealt = every.where(F.col("source_file").isNotNull() & F.col("_segment").isNotNull()).repartition(*by)  # both uses of the events ask for whole keys
+    carried = carry_in(dealt, ["source_file"], "_segment", ["ord"], ["model", "effort", "counts"])
+    started = dealt.join(carried, by)  # inner, so that both sides get the same filters and share one shuffle
     full = carry_forward(started, by, ["ord"], {c: F.coalesce(c, F.when(F.col("ord") == F.col("_first"), F.col(f"_{c}"))) for c in ("model", "effort")})
     kept = drop_repeats(full.where(F.col("counts").isNotNull()), by, ["ord"], ["counts"], F.col("_counts")).where("ord >= 0")
     n = "counts."
@@ -223,11 +240,10 @@ def event_log(lines: DataFrame, segment: int = SEGMENT, state: DataFrame | None
     ))
 
 
-def event_state(lines: DataFrame, state: DataFrame) -> DataFrame:
-    """Where sessions stand after the lines: lines read, newest time, and the last model, effort and counts."""
-    every = _events(lines).unionByName(_as_events(state))
+def event_state(found: DataFrame, read: DataFrame, state: DataFrame) -> DataFrame:
+    """Where sessions stand after the ``events`` found: lines ``read`` (source_file, _lines) so far, newest time, and the last model, effort and counts."""
+    every = found.unionByName(_as_events(state))
     last = every.groupBy("source_file").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("ord"))).alias(v) for v in ("model", "effort", "counts")], F.max(parse_timestamp(F.col("timestamp"))).alias("_newest"))
-    read = lines.groupBy("source_file").agg((F.max("ord") + 1).cast("long").alias("_lines"))
     known = state.select("source_file", "lines", "newest")
     return known.join(read, "source_file", "full").join(last, "source_file", "left").select(
         "source_file", F.coalesce("_lines", "lines").alias("lines"), F.greatest("newest", "_newest").alias("newest"), "model", "effort", "counts")

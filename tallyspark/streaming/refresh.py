@@ -111,35 +111,52 @@ def current(path: str, spark: SparkSession, schema) -> DataFrame:
 
 
 def read_landed_logs(spark: SparkSession, path: str, pattern: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
-    """(path, value): whole log files as they land; a file is complete when it lands, a session may go on in a later one."""
+    """(file, block, value): the lines of log files as they land, by the splits that Spark makes of large files; a file is complete when it lands, a session may go on in a later one."""
     files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
-    return files.text(path, wholetext=True).select(logs.file_path().alias("path"), "value")
+    return files.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _placed(files: DataFrame) -> tuple[DataFrame, Column]:
+    """Lines (file, block, _id, line) of either form of landed logs, ids rising inside a split without a gap; and a file's path."""
+    if "block" in files.columns:
+        return files.select("file", "block", F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")), logs.file_path("file")
+    ended = F.split(F.regexp_replace("value", r"(\r\n|\n|\r)$", ""), logs.NEW_LINE)  # the end of the last line begins no other
+    return files.where(F.col("value") != "").select(F.col("path").alias("file"), F.lit(0).alias("block"), F.posexplode(ended).alias("_id", "line")), F.col("file")
 
 
 def event_log_sink(path: str, session: Callable[[Column], Column], idle_days: float = 30) -> Callable[[DataFrame, int], None]:
-    """A sink for ``read_landed_logs`` that parses event logs across batches: ledger rows in ``rows/batch=n``, where sessions stand in ``state``.
+    """A sink for ``read_landed_logs`` (or whole files: path, value) that parses event logs across batches: ledger rows in ``rows/batch=n``, where sessions stand in ``state``.
 
     ``session`` names a file's session by its path; files of a session are in the order of their paths, and later batches
     follow earlier ones. Lines are numbered on from batch to batch. Sessions whose newest event lies more than ``idle_days`` before
     the newest of all are forgotten: should one go on after that, it starts without a model. A batch that runs again replaces itself.
+
+    No task holds a file: one pass counts the lines of each split, a second parses them, and what it finds stays in
+    ``work`` until rows and state are made of it. Only the splits of a session meet in one task.
     """
 
     def sink(files: DataFrame, batch: int) -> None:
-        spark, folder = files.sparkSession, f"{path}/state"
+        spark, folder, work = files.sparkSession, f"{path}/state", f"{path}/work"
+
+        def settled(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{work}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
         state = _state(folder, spark, logs.EVENT_STATE, batch)
-        ended = F.split(F.regexp_replace("value", r"(\r\n|\n|\r)$", ""), logs.NEW_LINE)  # the end of the last line begins no other
-        named = files.select(session(F.col("path")).alias("source_file"), "path", ended.alias("l"))
-        earlier = Window.partitionBy("source_file").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = named.select("source_file", "path", F.size("l").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        sizes = sizes.join(state.select("source_file", "lines"), "source_file", "left").select("path", (F.col("base") + F.coalesce("lines", F.lit(0))).alias("base"))
-        each = named.select("source_file", "path", F.posexplode("l").alias("k", "line")).join(sizes, "path")
-        lines = each.select("source_file", F.lit(0).alias("root_rank"), (F.col("base") + F.col("k")).cast("int").alias("ord"), F.trim("line").alias("line")).where(F.col("line") != "")
-        met = state.join(named.select("source_file").distinct(), "source_file", "left_semi")
-        logs.event_log(lines, state=met).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        after = logs.event_state(lines, state)
-        newest = F.greatest(state.agg(F.max("newest")).scalar(), lines.agg(F.max(logs.parse_timestamp(F.get_json_object("line", "$.timestamp")))).scalar())
+        placed, file = _placed(files)
+        stated = logs.parse_timestamp(F.get_json_object(F.trim("line"), "$.timestamp"))
+        ends = logs.split_ends(placed, ["file", "block"], F.max(stated).alias("_newest")).withColumns({"path": file, "source_file": session(file)})
+        before = logs.with_base(ends, ["source_file"], ["path", "block"]).join(state.select("source_file", "lines"), "source_file", "left")
+        splits = settled(before.withColumn("_base", F.col("_base") + F.coalesce("lines", F.lit(0))).drop("path", "lines"), "splits")  # small, and known to be so
+        lines = logs.placed_lines(placed, splits, ["file", "block"]).select("source_file", F.lit(0).alias("root_rank"), "ord", F.trim("line").alias("line")).where(F.col("line") != "")
+        found = settled(logs.events(lines), "events")
+        met = state.join(splits.select("source_file").distinct(), "source_file", "left_semi")
+        logs.event_rows(found, state=met).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        read = splits.groupBy("source_file").agg(F.max(F.col("_base") + F.col("_high") - F.col("_low") + 1).alias("_lines"))
+        newest = F.greatest(state.agg(F.max("newest")).scalar(), splits.agg(F.max("_newest")).scalar())
         recent = F.coalesce(F.col("newest") >= F.timestamp_micros(F.unix_micros(newest) - int(idle_days * 86_400_000_000)), F.lit(True))
-        _keep(after.where(recent), folder, batch)
+        _keep(logs.event_state(found, read, state).where(recent), folder, batch)
+        drop(spark, work)
 
     return sink
 

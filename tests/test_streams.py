@@ -52,6 +52,38 @@ def test_sessions_go_on_across_batches_and_idle_ones_are_forgotten(spark, tmp_pa
     assert {r.source_file: r.lines for r in state.collect()} == {"s": 11, "old": 2}
 
 
+def test_large_log_files_are_parsed_by_their_splits(spark, tmp_path):
+    """No row of the stream is a file; splits, files and batches of a session give the rows of one long log; blank lines at the ends of files and an empty file count as they should."""
+    lines = [context("2025-01-01T00:00:00Z", model=f"m{i}", effort="high" if i % 3 else None) if i % 50 == 7 else "" if i % 50 == 11 else "{broken" if i % 50 == 12 else count(f"2025-01-01T00:{i // 60 % 60:02d}:{i % 60:02d}Z", i // 3) for i in range(3000)]
+    lines[1199] = lines[1200 - 2] = lines[2999] = ""
+    files = {"in/p0/a 1+-x.jsonl": lines[:700], "in/p0/b-x.jsonl": lines[700:1200], "in/p1/c-x.jsonl": [], "in/p1/d-x.jsonl": lines[1200:], "in/p1/d-y.jsonl": lines[:7], "whole/x.jsonl": lines, "whole/y.jsonl": lines[:7]}
+    seen = []
+
+    def watching(rows, batch):
+        seen.extend((r.file, r.blocks, r.longest) for r in rows.groupBy("file").agg(F.count_distinct("block").alias("blocks"), F.max(F.length("value")).alias("longest")).collect())
+        sink(rows, batch)
+
+    sink = refresh.event_log_sink(str(tmp_path / "out"), lambda p: F.regexp_extract(p, r"-([a-z]+)\.jsonl$", 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for part in ("whole", "in/p0", "in/p1"):
+            for name in (n for n in files if n.startswith(part)):
+                (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+                (tmp_path / name).write_text("".join(f"{x}\n" for x in files[name]))
+            if part != "whole":
+                refresh.keep_current(refresh.read_landed_logs(spark, str(tmp_path / "in")), watching, str(tmp_path / "state")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert max(longest for _, _, longest in seen) < 300 and max(blocks for _, blocks, _ in seen) > 5
+    columns = ("ord", "ts_raw", "model_key", "input_tokens")
+    rows = spark.read.parquet(str(tmp_path / "out/rows")).select("source_file", *columns)
+    want = logs.event_log(logs.read_lines(spark, [str(tmp_path / "whole")])).select(F.regexp_extract("source_file", "([a-z]+).jsonl$", 1), *columns)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) and rows.count() > 900
+    state = refresh._state(str(tmp_path / "out/state"), spark, logs.EVENT_STATE)
+    assert {r.source_file: r.lines for r in state.collect()} == {"x": 3000, "y": 7}
+    assert not (tmp_path / "out/work").exists()
+
+
 def test_keys_beyond_the_watermark_are_forgotten(spark, tmp_path):
     """A key that repeats within the watermark is dropped, one that repeats after it passes again."""
     shape = "message_id string, request_id string, event_ts timestamp"
