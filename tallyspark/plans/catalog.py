@@ -456,16 +456,19 @@ def session_bounds(spark, sf_dir):
 first AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY user_id % 2, 'user=' || user_id || '/', event_id) AS k FROM kept)
 SELECT strftime(event_ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS messages, {_sums()} FROM first WHERE k = 1 GROUP BY 1""")
 def incremental_refresh(spark, sf_dir):
-    """Logs land as a file per user, are parsed, more files land, and only those are parsed again; messages repeat across the files of both steps; the ledger by day at the end."""
-    folder = shared_folder(spark, "logs")
-    lines = usage_lines(ledger(spark, sf_dir)).withColumn("user", F.substring_index("source_file", "/", -1).cast("long")).repartition("user").sortWithinPartitions("user", "ord").select("line", "user")
+    """Logs land in the order of users' names, are parsed, more files land, and only those are parsed again; messages repeat across the files of both steps; the ledger by day at the end.
+
+    Files hold the lines of many users, as many as their bytes ask for: the driver holds a name and a state for every file that it lists.
+    """
+    folder, named = shared_folder(spark, "logs"), [F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit("/")), F.col("event_id")]
 
     def parse(listing: DataFrame) -> DataFrame:
         return logs.usage_rows(logs.read_lines(spark, [f"{folder}/projects"], "*.txt", listing=listing))
 
     known, manifest = spark.createDataFrame([], LEDGER), spark.createDataFrame([], incremental.MANIFEST)
     for step, half in enumerate("ab"):
-        lines.where(F.col("user") % 2 == step).write.partitionBy("user").text(f"{folder}/projects/{half}", compression="none")
+        dealt = ledger(spark, sf_dir).where(F.col("user_id") % 2 == step).repartitionByRange(*named).sortWithinPartitions(*named)  # names of files rise with the ranges
+        usage_lines(dealt).select("line").write.text(f"{folder}/projects/{half}", compression="none")
         known, manifest = incremental.refresh(spark, [f"{folder}/projects"], "*.txt", manifest, known, parse)
         known.write.parquet(f"{folder}/ledger-{step}")
         known = spark.read.parquet(f"{folder}/ledger-{step}")

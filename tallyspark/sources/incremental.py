@@ -43,8 +43,9 @@ def refresh(spark: SparkSession, roots: list[str], pattern: str, manifest: DataF
     """
     folder = shared_folder(spark, "listing")
     list_files(spark, roots, pattern).write.parquet(folder)
-    files = spark.read.parquet(folder)
-    changed = changed_files(files, manifest)
+    files = spark.read.schema(MANIFEST).parquet(folder)
+    changed_files(files, manifest).write.parquet(f"{folder}-changed")
+    changed = spark.read.schema(MANIFEST).parquet(f"{folder}-changed")  # its size is known, so a short list is broadcast to the lines and these are not shuffled
     stale = changed.select("path").union(gone_files(files, manifest).select("path"))
     kept = ledger.join(stale.select(F.col("path").alias("source_file")), "source_file", "left_anti").select(*ledger.columns)
     return kept.unionByName(parse(changed)), files

@@ -171,6 +171,27 @@ def test_a_file_that_grows_while_it_is_parsed(spark, tmp_path):
     assert sorted(r.message_id for r in logs.first_messages(again).collect()) == ["a", "b"]
 
 
+def test_files_that_land_do_not_grow_with_users(spark, tmp_path, monkeypatch):
+    """Of 400 users' logs few files are made and listed; messages repeat across users, whose names are not in the order of their numbers."""
+    import duckdb
+
+    from tallyspark.plans import catalog
+
+    events = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).cast("timestamp_ntz").alias("ts"), (F.col("id") * 7919 % 400).alias("user_id"),
+        F.lit("view").alias("event_type"), (F.col("id") % 97 + 0.5).alias("value"), F.format_string('{"k": %d}', F.col("id") % 31).alias("props"))
+    events.coalesce(1).write.parquet(str(tmp_path / "t/events.parquet"))
+    monkeypatch.setattr(catalog, "shared_folder", lambda _, name: str(tmp_path / name))
+    out = catalog.queries()["incremental_refresh"](spark, str(tmp_path / "t"))
+    got = sorted((r.day, r.messages, r.input_tokens, r.extra_tokens) for r in out.collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/t/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT day, messages, input_tokens, extra_tokens FROM ({catalog.oracle_sql()['incremental_refresh']}) ORDER BY 1").fetchall()
+    assert got == want and len(got) > 2
+    landed = list((tmp_path / "logs/projects").glob("**/part-*.txt"))
+    assert 2 <= len(landed) <= 16
+
+
 def test_ranks_of_roots(spark, tmp_path):
     """Roots with spaces and signs, nested roots, a root whose name begins like another's."""
     t = "2025-12-11T23:18:08Z"
